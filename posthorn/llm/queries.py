@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posthorn.llm import mixing, piece_bpe, quality_rules, simhash
+from posthorn.llm import mixing, piece_bpe, quality_rules, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document; sources are owners and documents are repositories."""
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def model_file() -> str:
     """The place of the vocabulary file, which belongs to the machine and not to this repository."""
     import public_tokenizers
@@ -50,6 +55,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op3_secrets": op3_secrets,
     "op5_sentencepiece": op5_sentencepiece,
     "op8_simhash": op8_simhash,
     "op10_quality_rules": op10_quality_rules,
