@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posthorn.llm import mixing, piece_bpe, quality_rules, secrets, simhash
+from posthorn.llm import mixing, piece_bpe, quality_rules, secrets, simhash, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode(_table(spark, sf_dir, "documents"), model_file())
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict for the url of every page."""
+    return url_filters.judge(_table(spark, sf_dir, "pages"), url_filters.listed_frame(spark))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_secrets": op3_secrets,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_url_filter": op6_url_filter,
     "op8_simhash": op8_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -105,3 +111,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, bits = 0 AS kept, CAST(bits AS BIGINT) AS fail_bits
 FROM b
 """
+
+ORACLE["op6_url_filter"] = f"""
+WITH u AS (
+  SELECT page_id,
+    coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '') AS raw,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*(/[^?#]*)', 1, 's'), '') AS path
+  FROM pages
+), h AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u
+), r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule,
+    ({" OR ".join(f"host = '{k}' OR host LIKE '%.{k}'" for k in url_filters.LISTED)}) AS listed
+  FROM h
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
+FROM r
+"""
