@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posthorn.llm import mixing, pii, piece_bpe, quality_rules, secrets, simhash, url_filters
+from posthorn.llm import mixing, pii, piece_bpe, quality_qda, quality_rules, secrets, simhash, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(_table(spark, sf_dir, "pages"), url_filters.listed_frame(spark))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, by a model of the labels that are not held out."""
+    return quality_qda.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_url_filter": op6_url_filter,
+    "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
