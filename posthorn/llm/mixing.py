@@ -42,8 +42,10 @@ MOST = 2.0
 SEED = 20_240_229
 #: Words of a block.
 BLOCK = 256
-#: Slots of a chunk and documents of a bucket, about.
+#: Slots of a chunk.
 CHUNK = 65_536
+#: Documents of a bucket of the shuffled order, about, over all sources.
+BUCKET = 4_096
 _GOLDEN = (math.sqrt(5) - 1) / 2
 #: Sources for which targets are computed; more are refused.
 MAX_SOURCES = 100_000
@@ -90,7 +92,7 @@ def lay_out(sized: DataFrame, sources: DataFrame, docs: int, seed: int = SEED) -
     placed = (
         sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["src"])).drop("src")
         .withColumn("ord", F.xxhash64(F.lit(seed), "key", "size"))
-        .withColumn("bucket", F.pmod(F.shiftright("ord", 20), F.lit(max(1, docs // CHUNK))))
+        .withColumn("bucket", F.pmod(F.shiftright("ord", 20), F.lit(max(1, docs // BUCKET))))
     )
     per_bucket = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -98,7 +100,7 @@ def lay_out(sized: DataFrame, sources: DataFrame, docs: int, seed: int = SEED) -
     inside = Window.partitionBy("sid", "bucket").orderBy("ord", "key", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     return (
         placed.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(offsets, ["sid", "bucket"])
+        .join(offsets.hint("merge"), ["sid", "bucket"])
         .withColumn("start", F.col("offset") + F.col("inner"))
         .drop("ord", "bucket", "inner", "offset")
     )
@@ -138,8 +140,9 @@ def slots(sources: list[dict], frame: DataFrame, block: int = BLOCK) -> DataFram
     before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_chunk.select("sid", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     need = spark.createDataFrame([(i, _ranks(s, block)) for i, s in enumerate(sources)], "sid long, need long")
+    # Both sides grow with the corpus, and slots compress so well that their size would let them be broadcast.
     ranked = (
-        chunks.mapInArrow(ranks, "sid long, chunk long, r long").join(offsets, ["sid", "chunk"])
+        chunks.mapInArrow(ranks, "sid long, chunk long, r long").join(offsets.hint("merge"), ["sid", "chunk"])
         .join(F.broadcast(need), "sid")
         .select("sid", (F.col("r") + F.col("offset")).alias("rank"), "need").where("rank < need").drop("need")
     )
@@ -204,7 +207,7 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     words_taken = F.col("whole") * (hi - lo) + F.greatest(F.lit(0), F.least(hi, "part") - lo)
     begins = F.when(F.col("block") == first, F.col("whole") + (F.col("part") > lo).cast("long"))
     return (
-        pieces.join(taken, ["sid", "block"], "left")
+        pieces.join(taken.hint("merge"), ["sid", "block"], "left")
         .groupBy("row", "key", "mark", "source", "size", "source_size", "target")
         .agg(
             F.coalesce(F.sum(words_taken), F.lit(0)).cast("long").alias("taken"),

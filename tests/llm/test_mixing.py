@@ -50,7 +50,8 @@ def test_each_source_gives_its_target(spark, block):
 
 def test_reruns_and_partitions_agree(spark, monkeypatch):
     df = spark.createDataFrame(rows(), SCHEMA)
-    monkeypatch.setattr(mixing, "CHUNK", 50)  # many buckets and chunks
+    monkeypatch.setattr(mixing, "CHUNK", 50)
+    monkeypatch.setattr(mixing, "BUCKET", 50)
 
     def run(d):
         return sorted(map(repr, mixing.mix(mixing.measured(d), block=16).drop("row").collect()))
