@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posthorn.llm import html_text, mixing, pii, piece_bpe, quality_qda, quality_rules, secrets, simhash, url_filters
+from posthorn.llm import html_text, media, mixing, pii, piece_bpe, quality_qda, quality_rules, secrets, simhash, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an image in an archive, read back, with digests and a feature."""
+    return media.text_media(_table(spark, sf_dir, "documents"))
+
+
 def model_file() -> str:
     """The place of the vocabulary file, which belongs to the machine and not to this repository."""
     import public_tokenizers
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
     "op3_secrets": op3_secrets,
+    "op4_media": op4_media,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_url_filter": op6_url_filter,
     "op7_quality": op7_quality,
