@@ -44,8 +44,8 @@ SEED = 20_240_229
 BLOCK = 256
 #: Slots of a chunk.
 CHUNK = 65_536
-#: Documents of a bucket of the shuffled order, about, over all sources.
-BUCKET = 4_096
+#: Documents of a bucket of a source's shuffled order, about.
+BUCKET = 1_024
 _GOLDEN = (math.sqrt(5) - 1) / 2
 #: Sources for which targets are computed; more are refused.
 MAX_SOURCES = 100_000
@@ -87,12 +87,12 @@ def source_table(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
     return [{"source": r.source, "docs": r.docs, "size": r.size, "target": t} for r, t in zip(rows, goal, strict=True)]
 
 
-def lay_out(sized: DataFrame, sources: DataFrame, docs: int, seed: int = SEED) -> DataFrame:
+def lay_out(sized: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
     """``sized`` with the columns of ``sources`` and ``start``, a document's place in its source's shuffled order."""
     placed = (
         sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["src"])).drop("src")
         .withColumn("ord", F.xxhash64(F.lit(seed), "key", "size"))
-        .withColumn("bucket", F.pmod(F.shiftright("ord", 20), F.lit(max(1, docs // BUCKET))))
+        .withColumn("bucket", F.pmod(F.shiftright("ord", 20), F.col("buckets")))
     )
     per_bucket = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,7 +102,7 @@ def lay_out(sized: DataFrame, sources: DataFrame, docs: int, seed: int = SEED) -
         placed.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(offsets.hint("merge"), ["sid", "bucket"])
         .withColumn("start", F.col("offset") + F.col("inner"))
-        .drop("ord", "bucket", "inner", "offset")
+        .drop("ord", "bucket", "buckets", "inner", "offset")
     )
 
 
@@ -187,10 +187,10 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     spark = sized.sparkSession
     sources = source_table(sized, weights, share, most)
     rows = [
-        (s["source"], i, s["size"], s["target"], max(1, math.ceil(s["size"] / block)), _ranks(s, block), _last_words(s, block))
+        (s["source"], i, s["size"], s["target"], max(1, math.ceil(s["size"] / block)), _ranks(s, block), _last_words(s, block), max(1, s["docs"] // BUCKET))
         for i, s in enumerate(sources)
     ]
-    table = spark.createDataFrame(rows, "src string, sid long, source_size long, target double, blocks long, need long, last_words long")
+    table = spark.createDataFrame(rows, "src string, sid long, source_size long, target double, blocks long, need long, last_words long, buckets long")
     # Blocks: how often each is taken whole, and how many words its partial taking has.
     ends = F.broadcast(table.select("sid", "blocks", "need", "last_words"))
     partial = (F.col("rank") == F.col("need") - 1) & (F.col("last_words") > 0)
@@ -199,7 +199,7 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
         .groupBy("sid", F.pmod("rank", "blocks").alias("block"))
         .agg(F.sum((~partial).cast("long")).alias("whole"), F.max(F.when(partial, F.col("last_words")).otherwise(0)).alias("part"))
     )
-    laid = lay_out(sized, table.drop("blocks", "need", "last_words"), sum(s["docs"] for s in sources), seed)
+    laid = lay_out(sized, table.drop("blocks", "need", "last_words"), seed)
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     pieces = laid.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
     lo = F.greatest("start", F.col("block") * block) - F.col("block") * block
