@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from posthorn.queries import linkage, surface
+from posthorn.queries import linkage, surface, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_AREAS = (surface, linkage)
+_AREAS = (surface, linkage, texts)
 QUERIES: dict[str, Query] = {name: q for area in _AREAS for name, q in area.QUERIES.items()}
 ORACLE: dict[str, str] = {name: sql for area in _AREAS for name, sql in area.ORACLE.items()}
