@@ -33,7 +33,7 @@ def strip_html(c: Column) -> Column:
     out = F.regexp_replace(out, r"<[^>]*>", " ")
     out = reduce(lambda a, e: F.replace(a, F.lit(e[0]), F.lit(e[1])), ENTITIES, out)
     out = F.regexp_replace(out, r"[ \t\r]+", " ")
-    return F.trim(F.regexp_replace(out, r" ?\n[ \n]*", "\n"))
+    return F.regexp_replace(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), r"^\s+|\s+$", "")
 
 
 def html_title(c: Column) -> Column:
@@ -81,7 +81,7 @@ def forwarded_only(subject: Column, body: Column) -> Column:
 
 def plain_subject(c: Column) -> Column:
     """Without two levels of reply and forward marks."""
-    once = lambda x: F.regexp_replace(x, r"(?i)^\s*(re|fwd?|aw|отв)\s*:\s*", "")
+    once = lambda x: F.regexp_replace(x, r"(?iu)^\s*(re|fwd?|aw|отв)\s*:\s*", "")
     return F.lower(F.trim(once(once(c))))
 
 

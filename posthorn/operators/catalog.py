@@ -47,7 +47,7 @@ def brand_aliases(lines: DataFrame, name: str = "line") -> DataFrame:
     first = F.split(outer, r"\s+")[0]
     all_ = F.concat(
         F.array(c, F.lower(c), F.upper(c), outer, inner, F.regexp_replace(F.lower(outer), "[^a-z0-9]+", "-"), F.when(F.length(first) >= 4, first)),
-        F.transform(F.split(outer, r"\s*[/|,]\s*"), F.trim),
+        F.transform(F.split(outer, r"\s*[/|,]\s*"), lambda a: F.trim(a)),
     )
     kept = F.filter(F.array_distinct(all_), lambda a: a.isNotNull() & (a != ""))
     return lines.where(c != "").select(c.alias("canonical"), F.explode(kept).alias("alias")).distinct()
