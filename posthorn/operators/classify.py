@@ -54,7 +54,7 @@ def decide(scores: dict[str, Column]) -> tuple[Column, Column]:
     return label, confidence
 
 
-def ordered_case(text: Column, families: tuple[tuple[str, str], ...], other: str) -> Column:
+def ordered_case(text: Column, families: tuple[tuple[str, str], ...], other: str | None) -> Column:
     """The first family whose pattern occurs in ``text``."""
     out = F.lit(other)
     for name, pattern in reversed(families):
@@ -62,16 +62,82 @@ def ordered_case(text: Column, families: tuple[tuple[str, str], ...], other: str
     return out
 
 
-#: Request types and urgency, in the order in which they are tried. Fixed values.
-REQUEST_TYPES = (
-    ("spam", "unsubscribe|casino|lottery"),
-    ("complaint", "complain|claim|defect"),
-    ("order", "order|invoice|purchase"),
-    ("quotation", "price|quote|offer"),
-    ("service_request", "repair|service|warranty"),
-    ("info_request", "question|info|how"),
-)
-URGENCY = (("urgent", "urgent|asap|immediately"), ("planned", "plan|next month|budget"))
+#: Request types in the order in which they are tried, and what fits each. Fixed values.
+REQUEST_PATTERNS: dict[str, tuple[str, ...]] = {
+    "quotation": (
+        r"(?:^|\W)запрос(?:\s+на)?\s+(?:кп|коммерческ|цен|стоимост|счет|счёт|поставк|оборудован|расчет|расчёт|калькуляц)",
+        r"(?:^|\W)запрос(?:\s+от)?\s*(?:№|\d)",
+        r"^\W*запрос(?:\s|$)",
+        r"(?:^|\W)заявка(?:\s+на|\s+от|\s+№|\s*$|\s+для)",
+        r"(?:^|\W)просим\s+(?:выставить|предоставить|рассчитать|просчитать|сообщить|уточнить)",
+        r"(?:^|\W)(?:прошу|просьба)\s+(?:выставить|предоставить|рассчитать|просчитать|рассмотреть|сообщить|уточнить)",
+        r"(?:^|\W)расч[её]т(?:\s+стоимост|\s+цен|\s+на)",
+        r"(?:^|\W)коммерческ(?:ое|ого)\s+предложен",
+        r"(?:^|\W)прайс[-\s]?лист",
+        r"(?:^|\W)(?:счёт|счет)\s+на(?:\s|$)",
+        r"(?:^|\W)цена(?:\s+на|\s+за)",
+        r"(?:^|\W)заполнен(?:а|о)\s+форм",
+        r"(?:^|\W)(?:новая\s+)?форма(?:\s+с\s+сайта|\s+обратной\s+связи|\s+на\s+сайте)",
+        r"(?:^|\W)вопрос\s+(?:через|с\s+сайт|по)",
+        r"(?<![A-Za-z0-9_])price\s+(?:request|quote|inquiry|list)",
+        r"(?<![A-Za-z0-9_])request\s+for\s+quot(?:e|ation)",
+        r"(?<![A-Za-z0-9_])quotation(?![A-Za-z0-9_])",
+        r"(?<![A-Za-z0-9_])rfq(?![A-Za-z0-9_])",
+    ),
+    "order": (
+        r"(?:^|\W)(?:подтверждаем|подтверждение)\s+заказ",
+        r"(?:^|\W)(?:наш|новый)\s+заказ(?:\s|$|[,.:;№])",
+        r"(?:^|\W)заказ(?:ываем|ать)\s+(?:следующ|товар)",
+        r"(?<![A-Za-z0-9_])purchase\s+order(?![A-Za-z0-9_])",
+        r"(?:^|\W)счёт\s+на\s+оплату\s*№",
+        r"^\W*заказ(?:\s+№|\s+от|\s*$)",
+        r"(?<![A-Za-z0-9_])place\s+(?:an\s+)?order",
+    ),
+    "vendor_offer": (
+        r"(?:^|\W)(?:предлагаем|предложение)\s+(?:сотрудничеств|поставк|услуг)",
+        r"(?:^|\W)мы\s+являемся\s+(?:производ|поставщ|дистрибьют)",
+        r"(?:^|\W)наша\s+компания\s+(?:предлагает|производит|поставляет)",
+        r"(?:^|\W)(?:мы|наша\s+компания).{0,40}\s+(?:дистрибьютор|дилер|производитель)",
+        r"(?:^|\W)выгодн(?:ое|ые)\s+услови",
+    ),
+    "complaint": (r"(?:^|\W)(?:претенз|жалоб|рекламац)", r"(?:^|\W)некачествен", r"(?:^|\W)не\s+работает(?:$|\W)", r"(?:^|\W)возврат(?:\s+товар|\s+денег)"),
+    "service_request": (r"(?:^|\W)(?:ремонт|сервис|обслуживан|диагностик)", r"(?:^|\W)(?:пусконаладк|монтаж|шеф-?монтаж)", r"(?:^|\W)(?:гарантийн|негарантийн)\s+(?:ремонт|случ)"),
+    "info_request": (r"(?:^|\W)подскажите[,\s]+(?:пожалуйста|плз)", r"(?:^|\W)как\s+(?:заказать|купить|оплатить)", r"(?:^|\W)(?:техническ|инструкц|документац|паспорт)", r"(?:^|\W)как(?:ие|ая|ой)\s+(?:срок|условия|гаранти)"),
+}
+#: Urgency, likewise. Fixed values.
+URGENCY_PATTERNS: dict[str, tuple[str, ...]] = {
+    "urgent": (
+        r"срочн|urgent|asap|немедленн|в кратчайш|до конца дня|сегодня|безотлагательн",
+        r"в\s+срочном\s+порядке|как\s+можно\s+(?:скорее|быстрее)|по\s+быстрому",
+        r"простой|стоит\s+линия|стоит\s+оборудование|авари[йя]|остановка\s+(?:линии|производства|цеха)",
+        r"горит\s+(?:срок|заказ|поставка)|не\s+терпит\s+отлагательств",
+    ),
+    "planned": (
+        r"плановая|план(?:ируем|овый)|ближайш|на следующ",
+        r"в\s+течени[ие]\s+(?:месяца|квартала|года)",
+        r"на\s+(?:перспективу|будущее|следующий\s+(?:месяц|квартал|год))",
+    ),
+}
+#: Characters of a body that decide its request type.
+HEAD = 1500
+
+
+def _families(patterns: dict[str, tuple[str, ...]]) -> tuple[tuple[str, str], ...]:
+    return tuple((name, "(?iu)(?:" + "|".join(p) + ")") for name, p in patterns.items())
+
+
+def request_type_of(subject: Column, body: Column, label: Column) -> Column:
+    """K9: spam first, then a bare subject, then the pattern families; null if nothing fits."""
+    clean = F.trim(F.regexp_replace(F.coalesce(subject, F.lit("")), r"(?i)^\s*(?:(?:re|fwd|fw)\s*:\s*)+", ""))
+    bare = lambda words: clean.rlike(rf"(?iu)^(?:{words})[\s:№.,!?-]*(?:\d|$)")
+    hay = F.concat_ws("\n", clean, F.substring(F.coalesce(body, F.lit("")), 1, HEAD))
+    found = ordered_case(hay, _families(REQUEST_PATTERNS), None)
+    return F.when(label == "spam", "spam").when(bare("запрос|заявка"), "quotation").when(bare("заказ"), "order").otherwise(found)
+
+
+def urgency_of(text: Column) -> Column:
+    """K10."""
+    return ordered_case(F.coalesce(text, F.lit("")), _families(URGENCY_PATTERNS), "normal")
 
 
 def auto_reply(subject: Column, body: Column, sender: Column) -> Column:
@@ -84,32 +150,118 @@ def auto_reply(subject: Column, body: Column, sender: Column) -> Column:
     )
 
 
-def priority_of(urgency: Column, value: Column, positions: Column, known: Column) -> Column:
-    """K14."""
+def priority_of(conflict: Column, urgency: Column, positions: Column, value: Column, parsed: Column, articles: Column, brands: Column) -> Column:
+    """A severe conflict, urgency, five positions or a high value, then what else is known."""
     return (
-        F.when((urgency == "urgent") & (value > 50_000), "critical").when((urgency == "urgent") | (value > 50_000), "high")
-        .when((positions >= 5) | known, "medium").otherwise("low")
+        F.when(conflict, "critical").when((urgency == "urgent") | (positions >= 5) | (value > 50_000), "high")
+        .when(parsed | (articles > 0) | (brands > 0), "medium").otherwise("low")
     )
 
 
-def risk_of(errors: Column, confidence: Column) -> Column:
-    """K15."""
-    return F.when((errors >= 2) | (confidence < 0.4), "high").when((errors == 1) | (confidence < 0.7), "medium").otherwise("low")
+def risk_of(conflicts: Column, completeness: Column, confidence: Column, severe: Column, medium: Column) -> Column:
+    """Conflicts or severe issues, then thresholds of completeness and confidence."""
+    return (
+        F.when(conflicts | (completeness < 50) | (confidence < 0.65) | severe, "high")
+        .when((completeness < 80) | (confidence < 0.8) | medium, "medium").otherwise("low")
+    )
+
+
+def pipeline_status(label: Column, clarify: Column, review: Column, gate_ok: Column, failed: Column, variant: str = "server") -> Column:
+    """The three status functions.
+
+    ``server``: clients are ready if neither review is asked for nor the gate fails. ``runner``:
+    clarification comes before the label, after fetch errors. ``stored``: the label comes first.
+    """
+    spam, client = label == "spam", label == "client"
+    if variant == "runner":
+        out = F.when(failed, "fetch_error").when(spam, "ignored_spam").when(clarify, "needs_clarification").when(client, "ready_for_crm")
+    elif variant == "stored":
+        out = F.when(spam, "ignored_spam").when(client, "ready_for_crm").when(clarify, "needs_clarification")
+    else:
+        out = F.when(spam, "ignored_spam").when(client & (review | ~gate_ok), "review").when(client, "ready_for_crm").when(clarify, "needs_clarification")
+    return out.otherwise("review")
+
+
+#: A company name that is no name. Fixed values.
+DIRTY_COMPANY = r"(?iu)(https?://|www\.|@|\b(tel|fax|тел|факс)\b|[<>{}|])"
+
 
+def quality_gate(request: Column, inn: Column, company: Column, person: Column, phone: Column, products: Column, confidence: Column) -> tuple[Column, Column]:
+    """Errors that block, and warnings; null and blank are absent."""
+    has = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    asks = F.coalesce(request.isin("quotation", "order"), F.lit(False))
+    nobody = ~has(inn) & ~has(company) & ~has(person)
+    conditions = {
+        "invalid_inn_format": has(inn) & ~inn.rlike("^(\\d{9}|\\d{10}|\\d{12})$"),
+        "dirty_company_name": has(company) & company.rlike(DIRTY_COMPANY),
+        "no_contact_info": asks & ~has(person) & ~has(company) & ~has(phone),
+        "no_product_signal": asks & (products == 0),
+        "low_confidence_no_requisites": (confidence > 0) & (confidence < 0.5) & nobody,
+    }
+    return named(conditions), named({"no_phone_no_inn": ~has(inn) & ~has(phone)})
 
-def pipeline_status(label: Column, clarify: Column, risky: Column, variant: str = "gate") -> Column:
-    """Three variants that differ in what is asked first."""
-    spam = label == "spam"
-    if variant == "client_first":
-        return F.when(spam, "ignored_spam").when(label == "client", "ready_for_crm").when(clarify, "needs_clarification").otherwise("review")
-    if variant == "clarify_first":
-        return F.when(spam, "ignored_spam").when(clarify, "needs_clarification").when(label == "client", "ready_for_crm").otherwise("review")
-    return F.when(spam, "ignored_spam").when(risky, "review").when(clarify, "needs_clarification").when(label == "client", "ready_for_crm").otherwise("review")
+
+def named(conditions: dict[str, Column]) -> Column:
+    """The names of the conditions that hold."""
+    return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in conditions.items())))
+
+
+#: What a text says that is no request. Fixed values.
+NEWSLETTER = r"(?iu)(?:отписат[ьс]|unsubscribe|список\s+рассылки|mailing\s+list|email\s+marketing|view\s+in\s+(?:browser|your\s+browser)|дайджест|digest\s+\w|еженедельн(?:ый|ые)\s+(?:обзор|новости|дайджест)|новости\s+(?:рынка|отрасли|компании|недели)|обзор\s+(?:рынка|недели|событий))"
+WEBINAR = r"(?iu)(?:вебинар|webinar|онлайн[- ]?(?:курс|мероприятие|конференция|семинар)|зарегистрируйтесь\s+(?:на|бесплатно)|ближайшие\s+(?:мероприятия|события|вебинары|курсы))"
+OUTREACH = r"(?iu)(?:предлага[ею]м\s+(?:вам\s+)?(?:наши|свои)\s+услуги|готовы\s+(?:предложить|сотрудничать|стать\s+вашим)|(?:возможность|предложение)\s+(?:о\s+)?сотрудничества|типография|полиграфи[яю])"
+
+
+def overrides(label: Column, confidence: Column, text: Column, auto: Column, resume: Column, form: Column, web_form: Column, quoted_form: Column) -> Column:
+    """K4: struct<label, confidence> after the overrides, in their order.
+
+    Automatic replies and résumés are spam; forms of a website are clients; without any form,
+    newsletters and webinars are spam and offers of services are vendors.
+    """
+    pair = lambda l, c: F.struct(l.alias("label"), c.alias("confidence"))
+    at_least = lambda s, v: F.greatest(s["confidence"], F.lit(v))
+    steps = [
+        lambda s: F.when(auto, pair(F.lit("spam"), at_least(s, 0.92))),
+        lambda s: F.when(resume & (s["label"] != "spam"), pair(F.lit("spam"), at_least(s, 0.95))),
+        lambda s: F.when(form & ~resume & (s["label"] == "spam"), pair(F.lit("client"), at_least(s, 0.75))),
+        lambda s: F.when(web_form & (s["label"] == "spam"), pair(F.lit("client"), at_least(s, 0.82))),
+        lambda s: F.when(quoted_form & (s["label"] != "client"), pair(F.lit("client"), at_least(s, 0.82))),
+        lambda s: F.when(~(form | web_form | quoted_form) & (s["label"] != "spam") & (text.rlike(NEWSLETTER) | text.rlike(WEBINAR)), pair(F.lit("spam"), at_least(s, 0.85)))
+        .when(~(form | web_form | quoted_form) & (s["label"] == "client") & text.rlike(OUTREACH), pair(F.lit("vendor"), F.least(s["confidence"], F.lit(0.75)))),
+    ]
+    state = F.array(pair(label, confidence))
+    for step in steps:
+        state = F.transform(state, _then(step))
+    return F.element_at(state, 1)
+
+
+def _then(step):
+    """A step as a function of one struct: its result, or the struct itself where it doesn't apply."""
+    return lambda s: F.coalesce(step(s), s)
+
+
+def relabel(label: Column, confidence: Column, request: Column, evidence: Column) -> Column:
+    """K8: struct<label, change> by a language model's request type.
+
+    Unknown labels are raised; ``other`` takes a label away unless articles, brands or a
+    confidence of 0.85 stand against it; a vendor's offer turns a client into a vendor.
+    """
+    out = lambda l, c: F.struct(l.alias("label"), c.alias("change"))
+    kept = F.struct(label.alias("label"), F.lit(None).cast("string").alias("change"))
+    client_types = request.isin("quotation", "order", "info_request", "complaint")
+    return F.coalesce(
+        F.when((label == "unknown") & client_types, out(F.lit("client"), F.lit("raised"))).when((label == "unknown") & (request == "vendor_offer"), out(F.lit("vendor"), F.lit("raised")))
+        .when((request == "other") & label.isin("client", "vendor") & ~evidence & (confidence < 0.85), out(F.lit("unknown"), F.lit("lowered")))
+        .when((request == "other") & label.isin("client", "vendor"), out(label, F.lit("disagreed")))
+        .when((request == "vendor_offer") & (label == "client"), out(F.lit("vendor"), F.lit("flipped"))),
+        kept,
+    )
 
 
-def quality_gate(conditions: dict[str, Column]) -> Column:
-    """The names of the conditions that hold."""
-    return F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in conditions.items())))
+def moderated(status: Column, verdict: Column, comment: Column) -> Column:
+    """Approved messages are ready, those that need rework (which takes a comment) go to review."""
+    says = F.coalesce(F.trim(comment) != "", F.lit(False))
+    return F.when(verdict == "approved", "ready_for_crm").when((verdict == "needs_rework") & says, "review").otherwise(status)
 
 
 def brand_context(n: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from posthorn.plans.query_spec import filled, sla_overdue
+from posthorn.plans.query_spec import filled, issues, sla_overdue
 
 
 def kpis(m: DataFrame) -> DataFrame:
@@ -47,22 +47,9 @@ def extremes(c: DataFrame) -> DataFrame:
     )
 
 
-def issues(m: DataFrame) -> DataFrame:
-    """``m`` with the names of each message's issues."""
-    found = {
-        "missing_company": ~filled("company"),
-        "missing_inn": ~filled("inn"),
-        "missing_phone": ~filled("phone"),
-        "has_conflicts": F.col("has_conflicts"),
-        "high_risk": F.col("risk") == "high",
-        "no_priority": F.col("priority").isNull(),
-    }
-    return m.withColumn("issues", F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in found.items()))))
-
-
 def problems(m: DataFrame) -> DataFrame:
     """Messages by issue (A3)."""
-    return issues(m).select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("messages"))
+    return m.select(F.explode(issues()).alias("issue")).groupBy("issue").agg(F.count("*").alias("messages"))
 
 
 def threads(m: DataFrame) -> DataFrame:

@@ -25,8 +25,8 @@ SLA_OTHER = 48
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brands, articles, types, extensions and conflicts of each order, sorted and distinct."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_name")
     ext = F.when(F.col("l_returnflag") == "N", "pdf").when(F.col("l_returnflag") == "R", "xlsx").otherwise("doc")
     return (
         lines.join(parts, lines.l_partkey == parts.p_partkey, "left")
@@ -36,7 +36,9 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array_sort(F.collect_set(F.concat(F.lit("ART-"), F.col("l_partkey").cast("string")))).alias("articles"),
             F.array_sort(F.collect_set("p_type")).alias("product_types"),
             F.array_sort(F.collect_set(ext)).alias("attachment_exts"),
+            F.array_sort(F.collect_set("p_name")).alias("names"),
             F.count("*").alias("n_attachments"),
+            F.bool_or(F.col("l_linestatus") == "F").alias("parsed_attachment"),
             (F.count("*") > F.count_distinct("l_partkey")).alias("repeated_article"),
         )
     )
@@ -80,8 +82,9 @@ def from_orders(spark: SparkSession, sf_dir: str, lines: bool = True) -> DataFra
     empty = F.array().cast("array<string>")
     return base.join(own, base.id == own.l_orderkey, "left").select(
         *base.columns,
-        *(F.coalesce(c, empty).alias(c) for c in ("brands", "articles", "product_types", "attachment_exts")),
+        *(F.coalesce(c, empty).alias(c) for c in ("brands", "articles", "product_types", "attachment_exts", "names")),
         F.coalesce("n_attachments", F.lit(0)).cast("long").alias("n_attachments"),
+        F.coalesce("parsed_attachment", F.lit(False)).alias("parsed_attachment"),
         (F.coalesce("repeated_article", F.lit(False)) | (F.col("id") % 17 == 0)).alias("has_conflicts"),
     )
 
@@ -115,11 +118,11 @@ SQL = (
   SELECT l_orderkey, list_sort(list(DISTINCT p_brand)) AS brands, list_sort(list(DISTINCT 'ART-' || CAST(l_partkey AS VARCHAR))) AS articles,
     list_sort(list(DISTINCT p_type)) AS product_types,
     list_sort(list(DISTINCT CASE l_returnflag WHEN 'N' THEN 'pdf' WHEN 'R' THEN 'xlsx' ELSE 'doc' END)) AS attachment_exts,
-    count(*) AS n_attachments, count(*) > count(DISTINCT l_partkey) AS repeated_article
+    list_sort(list(DISTINCT p_name)) AS names, bool_or(l_linestatus = 'F') AS parsed_attachment, count(*) AS n_attachments, count(*) > count(DISTINCT l_partkey) AS repeated_article
   FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey
 ), m AS (
   SELECT b.*, coalesce(brands, []) AS brands, coalesce(articles, []) AS articles, coalesce(product_types, []) AS product_types,
-    coalesce(attachment_exts, []) AS attachment_exts, coalesce(n_attachments, 0) AS n_attachments,
+    coalesce(attachment_exts, []) AS attachment_exts, coalesce(names, []) AS names, coalesce(parsed_attachment, false) AS parsed_attachment, coalesce(n_attachments, 0) AS n_attachments,
     coalesce(repeated_article, false) OR id % 17 = 0 AS has_conflicts
   FROM b LEFT JOIN ln ON l_orderkey = id
 )"""

@@ -82,36 +82,104 @@ def sla_overdue(as_of: str = AS_OF) -> Column:
     return F.coalesce(F.col("priority").isNotNull() & (age_hours(as_of) > limit), F.lit(False))
 
 
-#: Presets: parameters (explicit ones win) and an extra condition. Fixed values.
-PRESETS: dict[str, tuple[dict, Column | None]] = {}
-
-
-def presets() -> dict[str, tuple[dict, Column | None]]:
-    """The five global presets; built on first use, as conditions need a session."""
-    if not PRESETS:
-        PRESETS.update(
-            {
-                "high_priority_open": ({"priority": "critical,high", "status": "review,needs_clarification"}, None),
-                "problem_queue": ({}, F.col("has_conflicts") | (F.col("risk") == "high") | (F.col("status") == "needs_clarification")),
-                "max_parsed": (
-                    {"company_present": True, "inn_present": True, "phone_present": True, "article_present": True},
-                    (F.size("brands") > 0) & ~F.col("has_conflicts"),
-                ),
-                "ready_not_exported": ({"status": "ready_for_crm", "exported": False}, None),
-                "overdue_unconfirmed": ({"sla_overdue": True, "confirmed": False}, None),
-            }
-        )
-    return PRESETS
+def issue_conditions(as_of: str = AS_OF) -> dict[str, Column]:
+    """What makes a message a problem, by name and in order."""
+    return {
+        "no_article": F.size("articles") == 0,
+        "no_brand": F.size("brands") == 0,
+        "no_name": F.size("names") == 0,
+        "no_phone": ~filled("phone"),
+        "no_company": ~filled("company"),
+        "no_inn": ~filled("inn"),
+        "attachments_unparsed": (F.col("n_attachments") > 0) & ~F.col("parsed_attachment"),
+        "weak_detection": F.coalesce(F.col("risk").isin("high", "medium"), F.lit(False)) | F.coalesce(F.col("confidence") < 0.75, F.lit(False)),
+        "has_conflicts": F.col("has_conflicts"),
+        "sla_overdue": sla_overdue(as_of),
+    }
+
+
+def issues(as_of: str = AS_OF) -> Column:
+    """The names of a message's issues."""
+    return F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in issue_conditions(as_of).items())))
+
+
+#: Parameters of the global presets; explicit parameters win. Fixed values.
+PRESETS: dict[str, dict] = {
+    "problem_queue": {"confirmed": "false"},
+    "max_parsed": {"article_present": "true", "company_present": "true", "inn_present": "true", "phone_present": "true", "risk": "low"},
+    "sla_overdue": {"sla_overdue": "true"},
+    "needs_review": {"confirmed": "false"},
+    "high_priority_open": {"confirmed": "false", "priority": "high,critical"},
+}
+
+
+def preset_rule(name: str, as_of: str = AS_OF) -> Column:
+    """The condition that a preset adds to its parameters, whatever parameters are given (Q7)."""
+    if name == "problem_queue":
+        return F.size(issues(as_of)) > 0
+    if name == "needs_review":
+        return (F.size(issues(as_of)) > 0) | F.coalesce(F.col("risk").isin("high", "medium"), F.lit(False)) | F.col("has_conflicts")
+    if name == "max_parsed":
+        parsed = [F.size(c) > 0 for c in ("articles", "brands", "names")] + [filled(c) for c in ("phone", "company", "inn")]
+        return reduce(lambda a, b: a & b, parsed) & ~F.col("has_conflicts")
+    if name == "high_priority_open":
+        return F.col("confirmed_at").isNull() & F.coalesce(F.col("priority").isin("high", "critical"), F.lit(False))
+    if name == "sla_overdue":
+        return sla_overdue(as_of)
+    return F.lit(True)
+
+
+def with_preset(query: MessageQuery, saved: dict[str, dict] | None = None) -> MessageQuery:
+    """A query with its preset's parameters filled in; ``saved`` presets come before global ones."""
+    given = {**PRESETS, **(saved or {})}.get(query.preset or "", {})
+    known = {f.name for f in fields(MessageQuery)}
+    return replace(query, **{k: v for k, v in given.items() if k in known and getattr(query, k) in (None, 0)})
+
+
+def saved_presets(rows: DataFrame, client: str, project: str) -> dict[str, dict]:
+    """a client's saved presets, those of the project before general ones, the newest first.
+
+    ``rows``: client_id, project_id (null: general), preset_key, query_json, id. A client's
+    presets are a handful of rows of configuration.
+    """
+    mine = rows.where((F.col("client_id") == client) & (F.col("project_id").isNull() | (F.col("project_id") == project)))
+    first = mine.groupBy("preset_key").agg(F.min_by("query_json", F.struct(F.col("project_id").isNull(), -F.col("id"))).alias("q")).limit(1000)
+    return {r.preset_key: json.loads(r.q) for r in first.collect()}
+
+
+#: Names of the recognition filters of the inbox. Fixed values.
+RECOGNITION = (
+    "missing_article", "missing_brand", "missing_name", "missing_phone", "missing_company", "missing_inn", "attachments_unparsed", "weak_detection",
+    "has_conflicts", "unconfirmed", "high_priority", "sla_overdue", "all_key_fields", "fully_parsed",
+)
+
+
+def recognition(name: str, as_of: str = AS_OF) -> Column:
+    """one of the inbox's recognition filters; an unknown one is no condition."""
+    has = {"article": F.size("articles") > 0, "brand": F.size("brands") > 0, "name": F.size("names") > 0, "phone": filled("phone"), "company": filled("company"), "inn": filled("inn")}
+    unparsed = (F.col("n_attachments") > 0) & ~F.col("parsed_attachment")
+    if name.startswith("missing_"):
+        return ~has[name.removeprefix("missing_")]
+    key = has["article"] & has["brand"] & has["name"] & has["phone"]
+    return {
+        "attachments_unparsed": unparsed,
+        "weak_detection": (F.coalesce("completeness", F.lit(0)) < 70) | (F.coalesce("confidence", F.lit(0.0)) < 0.72),
+        "has_conflicts": F.col("has_conflicts"),
+        "unconfirmed": F.col("confirmed_at").isNull(),
+        "high_priority": F.coalesce(F.col("priority").isin("high", "critical"), F.lit(False)),
+        "sla_overdue": sla_overdue(as_of),
+        "all_key_fields": key,
+        "fully_parsed": key & has["company"] & has["inn"] & ~unparsed,
+    }.get(name, F.lit(True))
 
 
 def predicate(query: MessageQuery, as_of: str = AS_OF) -> Column:
     """The conjunction of a query's conditions."""
     conditions: list[Column] = []
-    if query.preset and query.preset in presets():
-        given, extra = presets()[query.preset]
-        query = replace(query, **{k: v for k, v in given.items() if getattr(query, k) in (None, 0)})
-        if extra is not None:
-            conditions.append(F.coalesce(extra, F.lit(False)))
+    if query.preset:
+        query = with_preset(query)
+        if query.preset in PRESETS:
+            conditions.append(preset_rule(query.preset, as_of))
 
     def flag(value: str | bool | None, c: Column) -> None:
         if (v := tri_state(value)) is not None:

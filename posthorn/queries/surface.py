@@ -49,12 +49,19 @@ _filter("msg_filter_conflicts", "NOT has_conflicts", lines=True, has_conflicts="
 _filter("msg_filter_presence", f"{_COMPANY} AND NOT {_INN} AND {_PHONE}", company_present="true", inn_present="0", phone_present="1")
 _filter("msg_filter_article_present", "len(articles) > 0", lines=True, article_present="true")
 _filter("sla_overdue", _OVERDUE, sla_overdue="true")
-_filter("preset_high_priority_open", "priority IN ('critical', 'high') AND status IN ('review', 'needs_clarification')", preset="high_priority_open")
-_filter("preset_explicit_wins", "priority = 'low' AND status IN ('review', 'needs_clarification')", preset="high_priority_open", priority="low")
-_filter("preset_problem_queue", "coalesce(has_conflicts OR risk = 'high' OR status = 'needs_clarification', false)", lines=True, preset="problem_queue")
-_filter("preset_max_parsed", f"{_COMPANY} AND {_INN} AND {_PHONE} AND len(articles) > 0 AND len(brands) > 0 AND NOT has_conflicts", lines=True, preset="max_parsed")
-_filter("preset_ready_not_exported", "status = 'ready_for_crm' AND acked_crm IS NULL", preset="ready_not_exported")
-_filter("preset_overdue_unconfirmed", f"{_OVERDUE} AND confirmed_at IS NULL", preset="overdue_unconfirmed")
+_ISSUES = {
+    "no_article": "len(articles) = 0", "no_brand": "len(brands) = 0", "no_name": "len(names) = 0", "no_phone": f"NOT {_PHONE}", "no_company": f"NOT {_COMPANY}",
+    "no_inn": f"NOT {_INN}", "attachments_unparsed": "n_attachments > 0 AND NOT parsed_attachment",
+    "weak_detection": "coalesce(risk IN ('high', 'medium'), false) OR coalesce(confidence < 0.75, false)", "has_conflicts": "has_conflicts", "sla_overdue": _OVERDUE,
+}
+_ANY = "(" + " OR ".join(f"({c})" for c in _ISSUES.values()) + ")"
+_HIGH = "confirmed_at IS NULL AND coalesce(priority IN ('high', 'critical'), false)"
+_filter("preset_high_priority_open", _HIGH, lines=True, preset="high_priority_open")
+_filter("preset_explicit_wins", f"{_HIGH} AND priority = 'critical'", lines=True, preset="high_priority_open", priority="critical")
+_filter("preset_problem_queue", f"confirmed_at IS NULL AND {_ANY}", lines=True, preset="problem_queue")
+_filter("preset_needs_review", f"confirmed_at IS NULL AND ({_ANY} OR coalesce(risk IN ('high', 'medium'), false) OR has_conflicts)", lines=True, preset="needs_review")
+_filter("preset_max_parsed", f"{_COMPANY} AND {_INN} AND {_PHONE} AND len(articles) > 0 AND len(brands) > 0 AND len(names) > 0 AND coalesce(risk = 'low', false) AND NOT has_conflicts", lines=True, preset="max_parsed")
+_filter("preset_sla_overdue", _OVERDUE, lines=True, preset="sla_overdue")
 _filter("preset_unknown_is_no_filter", "true", preset="no such preset")
 
 
@@ -155,13 +162,26 @@ ORACLE["coverage_extremes"] = f"""WITH {M.SQL_BASE}, c AS (SELECT * FROM (
 SELECT (SELECT field FROM c ORDER BY rate DESC, field LIMIT 1) AS strongest, (SELECT field FROM c ORDER BY rate, field LIMIT 1) AS weakest, (SELECT count(*) FROM c WHERE rate < 0.5) AS gaps"""
 
 QUERIES["problems_by_issue"] = lambda spark, sf: summaries.problems(M.from_orders(spark, sf))
-ORACLE["problems_by_issue"] = f"WITH {M.SQL}, i AS (" + " UNION ALL ".join(
-    f"SELECT message_key, '{n}' AS issue FROM m WHERE {c}"
-    for n, c in (
-        ("missing_company", f"NOT {_COMPANY}"), ("missing_inn", f"NOT {_INN}"), ("missing_phone", f"NOT {_PHONE}"), ("has_conflicts", "has_conflicts"),
-        ("high_risk", "risk = 'high'"), ("no_priority", "priority IS NULL"),
-    )
-) + ") SELECT issue, count(*) AS messages FROM i GROUP BY issue"
+ORACLE["problems_by_issue"] = f"WITH {M.SQL}, i AS (" + " UNION ALL ".join(f"SELECT message_key, '{n}' AS issue FROM m WHERE {c}" for n, c in _ISSUES.items()) + ") SELECT issue, count(*) AS messages FROM i GROUP BY issue"
+
+
+def recognition_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """how many messages each recognition filter shows, from one scan."""
+    m = M.from_orders(spark, sf_dir)
+    counted = m.agg(F.count("*").alias("total"), *(F.count_if(Q.recognition(n)).alias(n) for n in Q.RECOGNITION))
+    return counted.unpivot("total", list(Q.RECOGNITION), "filter", "n").select("filter", "n")
+
+
+_KEY = f"len(articles) > 0 AND len(brands) > 0 AND len(names) > 0 AND {_PHONE}"
+_RECOGNITION = {
+    "missing_article": "len(articles) = 0", "missing_brand": "len(brands) = 0", "missing_name": "len(names) = 0", "missing_phone": f"NOT {_PHONE}",
+    "missing_company": f"NOT {_COMPANY}", "missing_inn": f"NOT {_INN}", "attachments_unparsed": "n_attachments > 0 AND NOT parsed_attachment",
+    "weak_detection": "completeness < 70 OR confidence < 0.72", "has_conflicts": "has_conflicts", "unconfirmed": "confirmed_at IS NULL",
+    "high_priority": "priority IN ('high', 'critical')", "sla_overdue": _OVERDUE, "all_key_fields": _KEY,
+    "fully_parsed": f"{_KEY} AND {_COMPANY} AND {_INN} AND (n_attachments = 0 OR parsed_attachment)",
+}
+QUERIES["recognition_filters"] = recognition_filters
+ORACLE["recognition_filters"] = f"WITH {M.SQL} " + " UNION ALL ".join(f"SELECT '{n}' AS filter, count(*) FILTER (WHERE {c}) AS n FROM m" for n, c in _RECOGNITION.items())
 QUERIES["threads_rollup"] = lambda spark, sf: summaries.threads(M.from_orders(spark, sf, lines=False))
 ORACLE["threads_rollup"] = f"""WITH {M.SQL_BASE}, t AS (SELECT *, coalesce(thread_id, 'message:' || message_key) AS tid FROM b)
 SELECT tid AS thread_id, count(*) AS messages, min(created_at) AS first_at, max(coalesce(updated_at, created_at)) AS last_at,

@@ -165,45 +165,100 @@ def rule_classify(spark, sf):
     return C.rule_hits(m, rules).select("message_key", label.alias("label"), confidence.alias("confidence"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, lower({_T}) AS t FROM documents) SELECT doc_id, CASE WHEN regexp_matches(t, 'unsubscribe|casino|lottery') THEN 'spam' WHEN regexp_matches(t, 'complain|claim|defect') THEN 'complaint'
-WHEN regexp_matches(t, 'order|invoice|purchase') THEN 'order' WHEN regexp_matches(t, 'price|quote|offer') THEN 'quotation' WHEN regexp_matches(t, 'repair|service|warranty') THEN 'service_request' WHEN regexp_matches(t, 'question|info|how') THEN 'info_request' ELSE 'other' END AS request_type,
-CASE WHEN regexp_matches(t, 'urgent|asap|immediately') THEN 'urgent' WHEN regexp_matches(t, 'plan|next month|budget') THEN 'planned' ELSE 'normal' END AS urgency FROM t""")
-def request_type(spark, sf):
-    """Ordered pattern families."""
-    t = F.lower(F.coalesce("text", F.lit("")))
-    return table(spark, sf, "documents").select("doc_id", C.ordered_case(t, C.REQUEST_TYPES, "other").alias("request_type"), C.ordered_case(t, C.URGENCY, "normal").alias("urgency"))
+_MAILS = """ml AS (SELECT o_orderkey AS id, CASE o_orderkey % 9 WHEN 0 THEN 'Re: Запрос' WHEN 1 THEN 'Заказ № 12' WHEN 2 THEN 'price list' WHEN 3 THEN 'x' ELSE 'hello' END AS subject,
+ CASE o_orderkey % 8 WHEN 0 THEN 'Просим выставить счет срочно' WHEN 1 THEN 'purchase order attached' WHEN 2 THEN 'Предлагаем сотрудничество' WHEN 3 THEN 'рекламация' WHEN 4 THEN 'нужен ремонт, планируем на год' WHEN 5 THEN 'Подскажите, пожалуйста' ELSE 'nothing' END AS body,
+ o_orderkey % 11 = 0 AS spam FROM orders)"""
 
 
-@query(f"""WITH {M.SQL_BASE} SELECT message_key, CASE WHEN label = 'spam' THEN 'ignored_spam' WHEN coalesce(risk = 'high', false) THEN 'review' WHEN inn IS NULL THEN 'needs_clarification' WHEN label = 'client' THEN 'ready_for_crm' ELSE 'review' END AS gate,
-CASE WHEN label = 'spam' THEN 'ignored_spam' WHEN label = 'client' THEN 'ready_for_crm' WHEN inn IS NULL THEN 'needs_clarification' ELSE 'review' END AS client_first,
-CASE WHEN label = 'spam' THEN 'ignored_spam' WHEN inn IS NULL THEN 'needs_clarification' WHEN label = 'client' THEN 'ready_for_crm' ELSE 'review' END AS clarify_first FROM b""")
+@query(f"""WITH {_MAILS} SELECT id, CASE WHEN spam THEN 'spam' WHEN id % 9 = 0 THEN 'quotation' WHEN id % 9 = 1 THEN 'order' WHEN id % 9 = 2 OR id % 8 = 0 THEN 'quotation' WHEN id % 8 = 1 THEN 'order' WHEN id % 8 = 2 THEN 'vendor_offer'
+WHEN id % 8 = 3 THEN 'complaint' WHEN id % 8 = 4 THEN 'service_request' WHEN id % 8 = 5 THEN 'info_request' END AS request_type, CASE id % 8 WHEN 0 THEN 'urgent' WHEN 4 THEN 'planned' ELSE 'normal' END AS urgency FROM ml""")
+def request_type(spark, sf):
+    """Request types of written subjects and bodies, and urgency."""
+    k = F.col("o_orderkey")
+    pick = lambda n, values, other: F.coalesce(F.get(F.array(*map(F.lit, values)), (k % n).cast("int")), F.lit(other))
+    subject = pick(9, ("Re: Запрос", "Заказ № 12", "price list", "x"), "hello")
+    bodies = ("Просим выставить счет срочно", "purchase order attached", "Предлагаем сотрудничество", "рекламация", "нужен ремонт, планируем на год", "Подскажите, пожалуйста")
+    body = pick(8, bodies, "nothing")
+    label = F.when(k % 11 == 0, "spam").otherwise("client")
+    return table(spark, sf, "orders").select(k.alias("id"), C.request_type_of(subject, body, label).alias("request_type"), C.urgency_of(body).alias("urgency"))
+
+
+@query(f"""WITH {M.SQL_BASE} SELECT message_key, CASE WHEN label = 'spam' THEN 'ignored_spam' WHEN label = 'client' AND (coalesce(risk = 'high', false) OR completeness < 20) THEN 'review' WHEN label = 'client' THEN 'ready_for_crm' WHEN inn IS NULL THEN 'needs_clarification' ELSE 'review' END AS server,
+CASE WHEN id % 19 = 0 THEN 'fetch_error' WHEN label = 'spam' THEN 'ignored_spam' WHEN inn IS NULL THEN 'needs_clarification' WHEN label = 'client' THEN 'ready_for_crm' ELSE 'review' END AS runner,
+CASE WHEN label = 'spam' THEN 'ignored_spam' WHEN label = 'client' THEN 'ready_for_crm' WHEN inn IS NULL THEN 'needs_clarification' ELSE 'review' END AS stored FROM b""")
 def pipeline_status(spark, sf):
     """The three status functions."""
-    clarify, risky = F.col("inn").isNull(), F.coalesce(F.col("risk") == "high", F.lit(False))
     m = M.from_orders(spark, sf, lines=False)
-    return m.select("message_key", *(C.pipeline_status(F.col("label"), clarify, risky, v).alias(v) for v in ("gate", "client_first", "clarify_first")))
+    facts = (F.col("label"), F.col("inn").isNull(), F.coalesce(F.col("risk") == "high", F.lit(False)), F.col("completeness") >= 20, F.col("id") % 19 == 0)
+    return m.select("message_key", *(C.pipeline_status(*facts, v).alias(v) for v in ("server", "runner", "stored")))
 
 
-@query(f"""WITH {M.SQL} SELECT message_key, CASE WHEN priority = 'critical' AND total > 50000 THEN 'critical' WHEN priority = 'critical' OR total > 50000 THEN 'high' WHEN n_attachments >= 5 OR coalesce(trim(company) <> '', false) THEN 'medium' ELSE 'low' END AS derived_priority,
-CASE WHEN CAST(inn IS NULL AS INTEGER) + CAST(phone IS NULL AS INTEGER) >= 2 OR confidence < 0.4 THEN 'high' WHEN CAST(inn IS NULL AS INTEGER) + CAST(phone IS NULL AS INTEGER) = 1 OR confidence < 0.7 THEN 'medium' ELSE 'low' END AS derived_risk,
+@query(f"""WITH {M.SQL} SELECT message_key, CASE WHEN id % 17 = 0 THEN 'critical' WHEN priority = 'critical' OR n_attachments >= 5 OR total > 50000 THEN 'high' WHEN parsed_attachment OR len(articles) > 0 OR len(brands) > 0 THEN 'medium' ELSE 'low' END AS derived_priority,
+CASE WHEN has_conflicts OR completeness < 50 OR confidence < 0.65 OR (inn IS NULL AND phone IS NULL) THEN 'high' WHEN completeness < 80 OR confidence < 0.8 OR inn IS NULL THEN 'medium' ELSE 'low' END AS derived_risk,
 CASE WHEN len(brands) < 6 THEN 'normal' WHEN len(brands) <= 7 THEN 'warning' WHEN len(brands) <= 12 THEN 'suspicious' ELSE 'catalog' END AS brand_context FROM m""")
 def risk_priority(spark, sf):
     """K13-K15."""
     m = M.from_orders(spark, sf)
     urgency = F.when(F.col("priority") == "critical", "urgent").otherwise("normal")
-    errors = F.col("inn").isNull().cast("int") + F.col("phone").isNull().cast("int")
-    known = F.coalesce(F.trim("company") != "", F.lit(False))
+    no_inn, no_phone = F.col("inn").isNull(), F.col("phone").isNull()
     return m.select(
-        "message_key", C.priority_of(urgency, F.col("total"), F.col("n_attachments"), known).alias("derived_priority"),
-        C.risk_of(errors, F.col("confidence")).alias("derived_risk"), C.brand_context(F.size("brands")).alias("brand_context"),
-    )
-
-
-@query(f"""WITH {M.SQL_BASE} SELECT message_key, array_to_string(list_filter([CASE WHEN inn IS NULL THEN 'no_inn' END, CASE WHEN coalesce(trim(company), '') = '' THEN 'no_company' END, CASE WHEN confidence < 0.5 THEN 'low_confidence' END], lambda x: x IS NOT NULL), '|') AS errors FROM b""")
+        "message_key",
+        C.priority_of(F.col("id") % 17 == 0, urgency, F.col("n_attachments"), F.col("total"), F.col("parsed_attachment"), F.size("articles"), F.size("brands")).alias("derived_priority"),
+        C.risk_of(F.col("has_conflicts"), F.col("completeness"), F.col("confidence"), no_inn & no_phone, no_inn).alias("derived_risk"),
+        C.brand_context(F.size("brands")).alias("brand_context"),
+    )
+
+
+@query(f"""WITH {M.SQL}, g AS (SELECT message_key, CASE WHEN id % 2 = 0 THEN 'quotation' ELSE 'other' END AS rt, CASE WHEN id % 23 = 0 THEN '12x' ELSE inn END AS inn, CASE WHEN id % 29 = 0 THEN 'see www.x.example' ELSE company END AS company, phone, len(articles) AS products, confidence FROM m),
+p AS (SELECT *, coalesce(trim(inn) <> '', false) AS hi, coalesce(trim(company) <> '', false) AS hc, coalesce(trim(phone) <> '', false) AS hp FROM g)
+SELECT message_key, array_to_string(list_filter([CASE WHEN hi AND NOT regexp_matches(inn, '^([0-9]{{9}}|[0-9]{{10}}|[0-9]{{12}})$') THEN 'invalid_inn_format' END, CASE WHEN hc AND contains(company, 'www.') THEN 'dirty_company_name' END,
+ CASE WHEN rt = 'quotation' AND NOT hc AND NOT hp THEN 'no_contact_info' END, CASE WHEN rt = 'quotation' AND products = 0 THEN 'no_product_signal' END, CASE WHEN confidence > 0 AND confidence < 0.5 AND NOT hi AND NOT hc THEN 'low_confidence_no_requisites' END], lambda x: x IS NOT NULL), '|') AS errors,
+ CASE WHEN NOT hi AND NOT hp THEN 'no_phone_no_inn' ELSE '' END AS warnings FROM p""")
 def quality_gate(spark, sf):
     """K17."""
-    gate = C.quality_gate({"no_inn": F.col("inn").isNull(), "no_company": F.coalesce(F.trim("company"), F.lit("")) == "", "low_confidence": F.col("confidence") < 0.5})
-    return M.from_orders(spark, sf, lines=False).select("message_key", F.array_join(gate, "|").alias("errors"))
+    m = M.from_orders(spark, sf)
+    inn = F.when(F.col("id") % 23 == 0, "12x").otherwise(F.col("inn"))
+    company = F.when(F.col("id") % 29 == 0, "see www.x.example").otherwise(F.col("company"))
+    request = F.when(F.col("id") % 2 == 0, "quotation").otherwise("other")
+    errors, warnings = C.quality_gate(request, inn, company, F.lit(None).cast("string"), F.col("phone"), F.size("articles"), F.col("confidence"))
+    return m.select("message_key", F.array_join(errors, "|").alias("errors"), F.array_join(warnings, "|").alias("warnings"))
+
+
+@query(f"""WITH {M.SQL_BASE}, x AS (SELECT message_key, coalesce(label, 'unknown') AS l, confidence AS c, id FROM b)
+SELECT message_key, CASE WHEN l = 'unknown' AND id % 3 = 0 THEN 'client' WHEN l = 'unknown' AND id % 3 = 1 THEN 'vendor' WHEN id % 3 = 2 AND l IN ('client', 'vendor') AND id % 5 <> 0 AND c < 0.85 THEN 'unknown' WHEN id % 3 = 1 AND l = 'client' THEN 'vendor' ELSE l END AS label,
+CASE WHEN l = 'unknown' AND id % 3 <> 2 THEN 'raised' WHEN id % 3 = 2 AND l IN ('client', 'vendor') AND id % 5 <> 0 AND c < 0.85 THEN 'lowered' WHEN id % 3 = 2 AND l IN ('client', 'vendor') THEN 'disagreed' WHEN id % 3 = 1 AND l = 'client' THEN 'flipped' END AS change FROM x""")
+def llm_relabel(spark, sf):
+    """Labels after a cached language model's request type."""
+    request = F.when(F.col("id") % 3 == 0, "order").when(F.col("id") % 3 == 1, "vendor_offer").otherwise("other")
+    m = M.from_orders(spark, sf, lines=False)
+    cache = m.select("message_key", request.alias("request"))  # stands for the cache's table
+    r = C.relabel(F.coalesce("label", F.lit("unknown")), F.col("confidence"), F.col("request"), F.col("id") % 5 == 0)
+    return m.join(cache, "message_key", "left").select("message_key", r.alias("r")).select("message_key", "r.label", "r.change")
+
+
+@query(f"""WITH {M.SQL_BASE}, x AS (SELECT message_key, coalesce(label, 'unknown') AS l, confidence AS c, id, id % 31 = 0 AS auto, id % 37 = 0 AS resume, id % 7 = 0 AS form, id % 12 = 0 AS news, id % 12 = 1 AS outreach FROM b),
+a AS (SELECT *, CASE WHEN auto THEN 'spam' ELSE l END AS l1, CASE WHEN auto THEN greatest(c, 0.92) ELSE c END AS c1 FROM x),
+b2 AS (SELECT *, CASE WHEN resume AND l1 <> 'spam' THEN 'spam' ELSE l1 END AS l2, CASE WHEN resume AND l1 <> 'spam' THEN greatest(c1, 0.95) ELSE c1 END AS c2 FROM a),
+c3 AS (SELECT *, CASE WHEN form AND NOT resume AND l2 = 'spam' THEN 'client' ELSE l2 END AS l3, CASE WHEN form AND NOT resume AND l2 = 'spam' THEN greatest(c2, 0.75) ELSE c2 END AS c3 FROM b2)
+SELECT message_key, CASE WHEN NOT form AND l3 <> 'spam' AND news THEN 'spam' WHEN NOT form AND l3 = 'client' AND outreach THEN 'vendor' ELSE l3 END AS label,
+round(CASE WHEN NOT form AND l3 <> 'spam' AND news THEN greatest(c3, 0.85) WHEN NOT form AND l3 = 'client' AND outreach THEN least(c3, 0.75) ELSE c3 END, 4) AS confidence FROM c3""")
+def label_overrides(spark, sf):
+    """K4: the override cascade."""
+    k = F.col("id")
+    text = F.when(k % 12 == 0, "please unsubscribe here").when(k % 12 == 1, "готовы сотрудничать").otherwise("a request")
+    no = F.lit(False)
+    r = C.overrides(F.coalesce("label", F.lit("unknown")), F.col("confidence"), text, k % 31 == 0, k % 37 == 0, k % 7 == 0, no, no)
+    m = M.from_orders(spark, sf, lines=False).select("message_key", r.alias("r"))
+    return m.select("message_key", "r.label", F.round("r.confidence", 4).alias("confidence"))
+
+
+@query(f"""WITH {M.SQL_BASE} SELECT message_key, CASE WHEN id % 3 = 0 THEN 'ready_for_crm' WHEN id % 3 = 1 AND id % 2 = 0 THEN 'review' ELSE status END AS status FROM b""")
+def moderation(spark, sf):
+    """K21."""
+    k = F.col("id")
+    verdict = F.when(k % 3 == 0, "approved").when(k % 3 == 1, "needs_rework")
+    comment = F.when(k % 2 == 0, "please check")
+    return M.from_orders(spark, sf, lines=False).select("message_key", C.moderated(F.col("status"), verdict, comment).alias("status"))
 
 
 @query(f"""WITH b AS (SELECT doc_id, lower({_T}) AS t FROM documents), s AS (SELECT doc_id, t, CAST(contains(t, 'unsubscribe') AS INTEGER) + CAST(contains(t, 'casino') AS INTEGER) + CAST(contains(t, 'winner') AS INTEGER) + CAST(contains(t, 'free money') AS INTEGER) AS spam,
