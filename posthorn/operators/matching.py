@@ -113,3 +113,62 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: list[Column]) -> Dat
 def insert_missing(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """The rows of ``new`` whose key is not in ``old``."""
     return new.join(old.select(key), key, "left_anti")
+
+
+def client_candidates(entities: DataFrame, clients: DataFrame, contacts: DataFrame, top: int = 5) -> DataFrame:
+    """The best clients for each message: tax number 95, name 85/70 or 40 + 45 * similarity, contact 80, domain 60.
+
+    ``entities``: message, inn, company, email; ``clients``: client, inn, name, domain;
+    ``contacts``: client, email. Confidence is the score over 100, at most 0.99.
+    """
+    e, c = entities, clients.select("client", F.col("inn").alias("c_inn"), F.lower("name").alias("c_name"), F.lower("domain").alias("c_domain"))
+    hit = lambda rows, method, score: rows.select("message", "client", F.lit(method).alias("method"), score.cast("double").alias("score"))
+    by_inn = hit(e.join(c, e.inn == c.c_inn), "inn", F.lit(95))
+    name = F.lower(F.trim("company"))
+    words = e.select("message", name.alias("n"), F.explode(word_set(name)).alias("w"))
+    pairs = words.join(c.select("client", "c_name", F.explode(word_set(F.col("c_name"))).alias("w")), "w").select("message", "n", "client", "c_name").distinct()
+    similar = jaccard(word_set(F.col("n")), word_set(F.col("c_name")))
+    score = F.when(F.col("n") == F.col("c_name"), 85).when(F.contains("n", F.col("c_name")) | F.contains("c_name", F.col("n")), 70).when(similar > 0.5, 40 + 45 * similar)
+    by_name = hit(pairs.withColumn("s", score).where("s IS NOT NULL"), "name", F.col("s"))
+    mails = contacts.select("client", F.lower("email").alias("c_email"))
+    by_mail = hit(e.join(mails, F.lower(e.email) == mails.c_email), "email", F.lit(80))
+    domain = F.lower(F.substring_index("email", "@", -1))
+    known = e.where(F.col("email").isNotNull() & ~domain.isin(*FREE_DOMAINS)).withColumn("d", domain)
+    by_domain = hit(known.join(c, known.d == c.c_domain), "domain", F.lit(60))
+    best = by_inn.unionByName(by_name).unionByName(by_mail).unionByName(by_domain).groupBy("message", "client").agg(
+        F.max(F.struct("score", "method")).alias("b")
+    )
+    rn = F.row_number().over(Window.partitionBy("message").orderBy(F.desc("b.score"), "client"))
+    ranked = best.withColumn("rank", rn).where(F.col("rank") <= top)
+    return ranked.select("message", "client", "rank", F.col("b.method").alias("method"), F.least(F.lit(0.99), F.round(F.col("b.score") / 100, 4)).alias("confidence"))
+
+
+def worker_match(entities: DataFrame, clients: DataFrame, contacts: DataFrame) -> DataFrame:
+    """Tax number .95, one client of that name .8 or several .5, contact .9, one client of that domain .75."""
+    e = entities
+    inn = e.join(clients.select("client", F.col("inn").alias("k")), e.inn == F.col("k")).select("message", "client", F.lit(0.95).alias("confidence"), F.lit("inn").alias("method"))
+    names = clients.groupBy(F.lower("name").alias("k")).agg(F.min("client").alias("client"), F.count("*").alias("n"))
+    name = e.join(names, F.lower(F.trim("company")) == F.col("k")).select("message", "client", F.when(F.col("n") == 1, 0.8).otherwise(0.5).alias("confidence"), F.lit("name").alias("method"))
+    contact = e.join(contacts.select("client", F.lower("email").alias("k")), F.lower("email") == F.col("k")).select("message", "client", F.lit(0.9).alias("confidence"), F.lit("contact").alias("method"))
+    domains = clients.groupBy(F.lower("domain").alias("k")).agg(F.min("client").alias("client"), F.count("*").alias("n")).where("n = 1")
+    domain = e.join(domains, F.lower(F.substring_index("email", "@", -1)) == F.col("k")).select("message", "client", F.lit(0.75).alias("confidence"), F.lit("domain").alias("method"))
+    found = inn.unionByName(name).unionByName(contact).unionByName(domain)
+    return found.groupBy("message").agg(F.min_by(F.struct("client", "confidence", "method"), F.struct(-F.col("confidence"), F.col("client"))).alias("b")).select("message", "b.*")
+
+
+def overlap_gate(query: Column, entry: Column, brand: Column, body: Column, least: int = 3) -> Column:
+    """Three shared words or the brand in the query, and the entry's brand in the body."""
+    shared = F.size(F.array_intersect(word_set(query), word_set(entry))) >= least
+    named = F.contains(F.lower(query), F.lower(brand))
+    return F.coalesce((shared | named) & F.contains(F.lower(body), F.lower(brand)), F.lit(False))
+
+
+def first_seen(rows: DataFrame, by: list[str], value: Column, pos: str) -> DataFrame:
+    """Values regardless of case, in order of first appearance, first casing kept."""
+    once = rows.groupBy(*by, F.lower(value).alias("key")).agg(F.min_by(value, pos).alias("shown"), F.min(pos).alias("first"))
+    return once.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "shown"))), lambda x: x["shown"]).alias("values"))
+
+
+def shadow_pruned(items: Column) -> Column:
+    """U16: articles of an array that are no part of a longer one."""
+    return F.filter(items, lambda x: ~F.exists(items, lambda y: (F.length(y) > F.length(x)) & F.contains(y, x)))

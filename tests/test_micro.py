@@ -202,3 +202,58 @@ def test_scheduler_slots():
     now = dt.datetime(2024, 1, 2, 10, 30)
     assert jobs.slot_due(now, 10, 0, None) and jobs.slot_due(now, 10, 0, now - dt.timedelta(days=1))
     assert not jobs.slot_due(now, 10, 0, now - dt.timedelta(minutes=5)) and not jobs.slot_due(now, 11, 0, None)
+
+
+def test_document_store(spark, tmp_path):
+    from posthorn.sources import store
+
+    project = {
+        "id": "p1",
+        "recentMessages": [
+            {"id": "1", "messageKey": "", "createdAt": "2024-01-01T00:00:00Z", "attachments": ["a.pdf"], "auditLog": [{"at": "2024-01-03T00:00:00Z", "action": "status", "to": "review"}],
+             "integrationExports": {"b": {"acknowledgedAt": "x"}, "a": {"acknowledgedAt": "y"}}, "detectedBrands": ["A"], "analysis": {"detectedBrands": ["A", "B", ""], "sender": {"companyName": " ", "cityPhone": "1"}}},
+            {"id": "2", "messageKey": "k2", "createdAt": "2024-01-02T00:00:00Z", "attachments": ["x"], "attachmentFiles": [{"filename": "f.xls"}], "threadId": "t"},
+        ],
+    }
+    (tmp_path / "p.json").write_text(json.dumps([project]))
+    rows = {r.message_key: r for r in store.messages(store.load(spark, f"file://{tmp_path}/p.json"), "b").collect()}
+    a, b = rows["1"], rows["k2"]
+    assert (a.attachments, a.brands, a.company, a.phone, a.thread_id, a.export.acknowledgedAt, str(a.updated_at)) == (["a.pdf"], ["A", "B"], None, "1", "message:1", "x", "2024-01-03 00:00:00")
+    assert (b.attachments, b.brands, b.export, b.thread_id) == (["f.xls"], [], None, "t")
+    found = store.messages(store.load(spark, f"file://{tmp_path}/p.json"))
+    assert sorted(r.id for r in store.events(found).collect()) == ["message:1:0", "thread:message:1:0"]
+    changes = spark.createDataFrame([("1", "2024-01-05", "done"), ("1", "2024-01-04", "x")], "message_key string, at string, to_status string")
+    assert {r.message_key: r.status for r in store.current_status(found, changes).collect()} == {"1": "done", "k2": None}
+    acks = spark.createDataFrame([("1", "crm", "e1", "2024")], "message_key string, consumer string, external_id string, at string")
+    batch = spark.createDataFrame([("1", "crm", "e2", "2023"), ("1", "erp", "e3", "2024")], acks.schema)
+    assert sorted(r.external_id for r in store.acknowledge(acks, batch).collect()) == ["e1", "e3"]
+    done, open_ = store.with_cache(found.select("message_key"), spark.createDataFrame([("1", 5)], "message_key string, r int"))
+    assert [r.r for r in done.collect()] == [5] and [r.message_key for r in open_.collect()] == ["k2"]
+    g = spark.createDataFrame([(["A1"], ["a1", "b2"], None, ["X"], "", "Co", "1", "2")], "articles array<string>, llm_articles array<string>, brands array<string>, llm_brands array<string>, company string, llm_company string, phone string, llm_phone string")
+    m = store.merge_gaps(g).first()
+    assert (m.articles, m.brands, m.company, m.phone) == (["A1", "b2"], ["X"], "Co", "1")
+
+
+def test_matching_cascades(spark):
+    from posthorn.operators import matching as X
+
+    e = spark.createDataFrame([(1, "77", "Acme", "x@acme.org"), (2, None, "ACME", "z@gmail.com"), (3, None, "Big Acme Trading", "a@b.c"), (4, None, None, None)], "message int, inn string, company string, email string")
+    c = spark.createDataFrame([(10, "77", "Acme", "acme.org"), (11, None, "Big Acme", "gmail.com"), (12, None, "Other", "b.c"), (13, None, "Other", "x.y")], "client int, inn string, name string, domain string")
+    k = spark.createDataFrame([(12, "A@b.c")], "client int, email string")
+    got = [(r.message, r.client, r.method, r.confidence) for r in X.client_candidates(e, c, k).orderBy("message", "rank").collect()]
+    assert got == [(1, 10, "inn", 0.95), (1, 11, "name", 0.7), (2, 10, "name", 0.85), (2, 11, "name", 0.7), (3, 12, "email", 0.8), (3, 10, "name", 0.7), (3, 11, "name", 0.7)]
+    assert sorted((r.message, r.client, r.confidence) for r in X.worker_match(e, c, k).collect()) == [(1, 10, 0.95), (2, 10, 0.8), (3, 12, 0.9)]
+    df = spark.createDataFrame([("red pump big x", "big red pump y", "Zed", "about zed"), ("zed x", "y", "Zed", "no"), (None, "y", "Zed", "zed")], "q string, e string, b string, body string")
+    assert [r[0] for r in df.select(X.overlap_gate(F.col("q"), F.col("e"), F.col("b"), F.col("body"))).collect()] == [True, False, False]
+    rows = spark.createDataFrame([(1, "Ab", 0), (1, "AB", 1), (1, "c", 2), (1, "C", -1)], "g int, v string, pos int")
+    assert X.first_seen(rows, ["g"], F.col("v"), "pos").first()["values"] == ["C", "Ab"]
+    arr = spark.createDataFrame([(["AB", "AB-1", "C"],)], "a array<string>")
+    assert arr.select(X.shadow_pruned(F.col("a"))).first()[0] == ["AB-1", "C"]
+
+
+def test_saved_presets_come_before_global_ones(spark):
+    rows = spark.createDataFrame([("c", None, "mine", '{"status": "review"}', 1), ("c", "p", "mine", '{"status": "done"}', 0), ("d", None, "x", "{}", 3)], "client_id string, project_id string, preset_key string, query_json string, id int")
+    saved = Q.saved_presets(rows, "c", "p")
+    assert saved == {"mine": {"status": "done"}}
+    assert Q.with_preset(Q.MessageQuery(preset="mine", label="spam"), saved) == Q.MessageQuery(preset="mine", label="spam", status="done")
+    assert Q.with_preset(Q.MessageQuery(preset="high_priority_open", priority="low")).priority == "low"
