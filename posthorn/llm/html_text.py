@@ -53,10 +53,11 @@ _SIBLING_SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr":
 _DROP_TAGS = frozenset("nav aside form fieldset button dialog menu head search".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _DROP_NAMES = frozenset(
-    "ad ads adbox adsense advert adverts advertisement advertising adverting aside banner breadcrumb breadcrumbs byline comment commentlist comments "
-    "consent cookie cookiebar cookies discussion disqus gdpr login menu menubar modal nav navbar navigation newsletter notice notices notification "
-    "overlay paywall popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skyscraper social "
-    "sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
+    "ad ads adbox adsbygoogle adsense adslot adunit advert advertisement advertising advertorial adverts alert aside banner breadcrumb breadcrumbs "
+    "byline comment commentlist comments consent cookie cookiebar cookies copyright disclaimer discussion disqus form gdpr login menu menubar modal nav "
+    "navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related "
+    "replies reply respond search searchbox share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe subscription teaser toolbar "
+    "widget widgets".split()
 )
 _EDGE_NAMES = frozenset("header footer masthead topbar".split())
 _CONTENT_NAMES = frozenset("article body content entry main post story text".split())
@@ -89,7 +90,7 @@ def _says_drop(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
     for m in _ATTRIBUTE.finditer(attributes):
         key = m[1].lower()
         value = (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id"):
+        if key in ("class", "id", "aria-label"):
             names.append(value)
         elif key == "role":
             drop = drop or not _DROP_ROLES.isdisjoint(value.split())
@@ -97,7 +98,7 @@ def _says_drop(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
             drop = True
     joined = " ".join(names)
     tokens = set(_NAME.findall(joined))
-    if not drop and tokens and tag not in ("html", "body", "article", "main"):
+    if not drop and tokens and tag not in ("html", "body"):
         drop = not tokens.isdisjoint(_DROP_NAMES) or (not tokens.isdisjoint(_EDGE_NAMES) and tokens.isdisjoint(_CONTENT_NAMES))
     return drop, joined
 
