@@ -35,8 +35,9 @@ MARK = "▁"
 #: Kinds of pieces in a model file.
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _NEVER = float("-inf")
-#: Chunks that a worker remembers.
+#: Chunks that a worker remembers (twice as many for a while), and characters of the longest of them.
 CHUNKS = 400_000
+CHUNK_CHARS = 200
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -231,6 +232,8 @@ class _Chunks(dict):
         self.old: dict[str, str] = {}
 
     def __missing__(self, key: str) -> str:
+        if len(key) > CHUNK_CHARS:
+            return " ".join(self.table.encode_chunk(self.to_text(key)))
         if len(self) >= CHUNKS:
             self.old = dict(self)
             self.clear()
