@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SYNONYMS, DEALS = 12, 20
 
@@ -13,9 +14,11 @@ def article_key(c: Column) -> Column:
     return F.upper(F.regexp_replace(c, "[^A-Za-zА-ЯЁа-яё0-9]+", ""))
 
 
-def _first_few(c: str, n: int) -> Column:
-    """The first ``n`` distinct values: their number is bounded by the report, so they are sliced in the aggregate."""
-    return F.slice(F.array_sort(F.collect_set(c)), 1, n)
+def _first_few(rows: DataFrame, column: str, name: str, n: int) -> DataFrame:
+    """The ``n`` smallest distinct values of each article. Ranks up to ``n`` are cut before the shuffle, so a hot article sends few rows."""
+    once = rows.where(F.col(column).isNotNull()).select("key", column).distinct()
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(column))
+    return once.withColumn("rank", rank).where(F.col("rank") <= n).groupBy("key").agg(F.array_sort(F.collect_list(column)).alias(name))
 
 
 def rollup(rows: DataFrame) -> DataFrame:
@@ -26,17 +29,18 @@ def rollup(rows: DataFrame) -> DataFrame:
     """
     price = F.when(F.col("price") > 0, F.col("price"))
     longest = F.max_by("product_name", F.struct(F.length("product_name"), "product_name"))
-    return rows.groupBy(article_key(F.col("article")).alias("article")).agg(
+    keyed = rows.withColumn("key", article_key(F.col("article")))
+    totals = keyed.groupBy("key").agg(
         F.count("*").alias("source_rows"),
         F.round(F.sum("quantity"), 3).alias("total_quantity"),
         F.min(F.nullif(F.trim("brand"), F.lit(""))).alias("brand"),
         longest.alias("product_name"),
-        _first_few("synonym", SYNONYMS).alias("synonyms"),
-        _first_few("deal_id", DEALS).alias("deals"),
         F.round(F.min(price), 2).alias("min_price"),
         F.round(F.max(price), 2).alias("max_price"),
         F.round(F.avg(price), 2).alias("avg_price"),
     )
+    joined = totals.join(_first_few(keyed, "synonym", "synonyms", SYNONYMS), "key", "left").join(_first_few(keyed, "deal_id", "deals", DEALS), "key", "left")
+    return joined.withColumnRenamed("key", "article")
 
 
 def brand_aliases(lines: DataFrame, name: str = "line") -> DataFrame:

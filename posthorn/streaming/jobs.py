@@ -76,7 +76,7 @@ def new_signals(messages: DataFrame, thread: str = "conv_id", key: str = "turn",
 
 
 def outbox(spark: SparkSession, deliveries: DataFrame, post: Callable[[str, dict[str, str]], int], secret: bytes, table: str, checkpoint: str) -> StreamingQuery:
-    """Deliver new payloads of a stream; outcomes go to ``table``, failures with their next attempt."""
+    """Deliver new payloads of a stream, at least once; outcomes go to ``table``, failures with their next attempt."""
     from posthorn.sources.exports import backoff, deliver
 
     def batch(df: DataFrame, number: int) -> None:
@@ -87,7 +87,7 @@ def outbox(spark: SparkSession, deliveries: DataFrame, post: Callable[[str, dict
             "key", F.when(ok, "delivered").otherwise("pending").alias("status"), F.lit(1).alias("attempts"), "response_status", "last_error",
             F.when(~F.coalesce(ok, F.lit(False)), F.current_timestamp() + wait).alias("next_attempt_at"),
         )
-        out.write.mode("append").parquet(f"{table}/batch={number}")  # a repeated batch overwrites nothing else
+        out.write.mode("overwrite").parquet(f"{table}/batch={number}")  # a repeated batch replaces its own outcome
 
     return deliveries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

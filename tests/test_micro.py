@@ -257,3 +257,19 @@ def test_saved_presets_come_before_global_ones(spark):
     assert saved == {"mine": {"status": "done"}}
     assert Q.with_preset(Q.MessageQuery(preset="mine", label="spam"), saved) == Q.MessageQuery(preset="mine", label="spam", status="done")
     assert Q.with_preset(Q.MessageQuery(preset="high_priority_open", priority="low")).priority == "low"
+
+
+def test_outbox_stream_and_chained_stages(spark, tmp_path):
+    spark.createDataFrame([("a", "{}"), ("b", "bad"), ("c", "x")], "key string, payload string").write.parquet(f"file://{tmp_path}/d")
+    stream = jobs.source(spark, f"file://{tmp_path}/d", "key string, payload string")
+
+    def post(payload, headers):
+        if payload == "bad":
+            raise OSError("down")
+        return 200 if payload == "{}" else 503
+
+    jobs.outbox(spark, stream, post, b"k", f"file://{tmp_path}/out", f"file://{tmp_path}/state").awaitTermination()
+    got = {r.key: (r.status, r.response_status, r.next_attempt_at is not None) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    assert got == {"a": ("delivered", 200, False), "b": ("pending", None, True), "c": ("pending", 503, True)}
+    chained = jobs.pipeline([("parse", lambda d: d.withColumn("n", F.length("payload"))), ("keep", lambda d: d.where("n > 1"))], stream)
+    assert sorted(r.key for r in jobs.run_available(chained).collect()) == ["a", "b"]
