@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from posthorn.llm.rows import numbered, row_id
 from posthorn.plans.scratch import materialise
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -172,7 +173,7 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     return materialise(
         docs.select(
             docs[key].alias("key"), docs[source].cast("string").alias("source"), words(docs[text]).alias("size"),
-            (F.lit(0).cast("long") if mark is None else mark).alias("mark"), F.monotonically_increasing_id().alias("row"),
+            (F.lit("") if mark is None else mark).alias("mark"), F.monotonically_increasing_id().alias("row"),
         ),
         "mix-sizes",
     )
@@ -218,16 +219,15 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as the mix takes its first word."""
-    mark = F.xxhash64(*docs.columns)
-    plan = mix(measured(docs, key, text, source, mark), **options)
-    plan = plan.groupBy(F.col("key").alias("__k"), F.col("mark").alias("__m")).agg(F.sum("copies").alias("__n")).where("__n > 0")
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    marked = docs.select(*(docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)), mark.alias("__mark"))
-    k = f"c{docs.columns.index(key)}"
-    # Rows that are equal in every column share a mark; their copies are counted together.
-    once = marked.dropDuplicates([k, "__mark"])
+    ident = row_id(docs, key)
+    plan = mix(measured(docs, key, text, source, ident), **options)
+    plan = plan.groupBy(F.col("mark").alias("__id")).agg(F.sum("copies").alias("__n")).where("__n > 0")
+    plain, names = numbered(docs.withColumn("__id", ident))
+    last = names.pop()
+    # Rows that are equal in every column are one row whose copies are counted together.
+    once = plain.dropDuplicates([last])
     return (
-        once.join(plan, once[k].eqNullSafe(plan["__k"]) & (once["__mark"] == plan["__m"]))
+        once.join(plan, once[last] == plan["__id"])
         .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
         .select(*names).toDF(*docs.columns)
     )

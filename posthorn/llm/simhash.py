@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posthorn.llm.arrow import slices, utf8
+from posthorn.llm.rows import numbered, row_id
 from posthorn.operators.components import connected_components
 from posthorn.plans.scratch import materialise
 
@@ -263,21 +264,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", k
 def keep_one(docs: DataFrame, radius: int = RADIUS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of ``docs`` for each component: the one with the smallest key.
 
-    A row is known by its key and a hash of its text, so equal keys with different texts stay
-    apart. Texts are shuffled once, for the join with the kept keys.
+    Rows are known by their key and a hash of all columns, so equal keys with different texts
+    stay apart. Texts are shuffled once: the join with the kept rows and the merging of rows that
+    are equal in every column use the same partitioning.
     """
-    mark = F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    ident = row_id(docs, key)
     slim = materialise(
-        hashed(docs.select(docs[key].alias("k"), mark.alias("mark"), docs[text].cast("string").alias("__text"))), "simhash-keep"
+        hashed(docs.select(docs[key].alias("k"), ident.alias("id"), docs[text].cast("string").alias("__text"))), "simhash-keep"
     )
     by_fp = groups(slim, radius)
-    least = slim.groupBy("fp").agg(F.min(F.struct(F.col("k").isNull(), "k", "mark")).alias("least"))
-    kept = (
-        by_fp.join(least, "fp").groupBy("root").agg(F.min("least").alias("least"))
-        .select(F.col("least.k").alias("__k"), F.col("least.mark").alias("__mark"))
-    )
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    marked = docs.select(*(docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)), mark.alias("__m"))
-    k = f"c{docs.columns.index(key)}"
-    same = marked[k].eqNullSafe(kept["__k"]) & (marked["__m"] == kept["__mark"])
-    return marked.join(kept, same, "left_semi").dropDuplicates([k, "__m"]).select(*names).toDF(*docs.columns)
+    least = slim.groupBy("fp").agg(F.min(F.struct(F.col("k").isNull(), "k", "id")).alias("least"))
+    kept = by_fp.join(least, "fp").groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("__id"))
+    plain, names = numbered(docs.withColumn("__id", ident))
+    last = names.pop()
+    return plain.join(kept, plain[last] == kept["__id"], "left_semi").dropDuplicates([last]).select(*names).toDF(*docs.columns)
