@@ -98,6 +98,29 @@ def shared_word_pairs(left: DataFrame, right: DataFrame, name: str) -> DataFrame
     return l.join(r, "word").select("a", "b", "name_a", "name_b").distinct()
 
 
+def similar_name_classes(rows: DataFrame) -> DataFrame:
+    """A, b and similarity of names with half of their words in common, over all of ``rows`` (id, name).
+
+    Equal names are a class, represented by its smallest id: a class has a row (representative,
+    member, 1) for each other member, and two classes a row of their representatives, so all pairs
+    follow without being written. Names are compared once; a pair with a half in common shares one
+    of the rarest n // 2 + 1 of n words, so common words alone make no candidates. Null names and
+    names without words have no class.
+    """
+    named = rows.select("id", F.lower("name").alias("name")).where(F.size(word_set(F.col("name"))) > 0)
+    classes = named.groupBy("name").agg(F.min("id").alias("rep")).withColumn("words", word_set(F.col("name")))
+    words = classes.select("rep", F.explode("words").alias("word"))
+    ranked = words.join(words.groupBy("word").agg(F.count("*").alias("n")), "word").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
+    rare = ranked.select("rep", F.explode(F.slice("w", F.lit(1), F.floor(F.size("w") / 2).cast("int") + 1)).alias("w")).select("rep", "w.word")
+    pairs = rare.select(F.col("rep").alias("a"), "word").join(rare.select(F.col("rep").alias("b"), "word"), "word").where("a < b").select("a", "b").distinct()
+    sets = classes.select("rep", "words")
+    both = pairs.join(sets.toDF("a", "words_a"), "a").join(sets.toDF("b", "words_b"), "b")
+    shared, every = F.size(F.array_intersect("words_a", "words_b")), F.size(F.array_union("words_a", "words_b"))
+    near = both.where(shared * 2 >= every).select("a", "b", F.round(shared / every, 4).alias("similarity"))
+    members = named.join(classes.select("name", "rep"), "name").where(F.col("id") != F.col("rep"))
+    return near.unionByName(members.select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+
+
 def contains_ratio(a: Column, b: Column) -> Column:
     """Shorter over longer if one contains the other, else null."""
     inside = F.contains(a, b) | F.contains(b, a)

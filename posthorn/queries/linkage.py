@@ -163,13 +163,22 @@ _SMALL = "(SELECT p_partkey AS id, lower(p_name) AS name FROM part WHERE p_size
 p AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.ws, y.ws)) AS i, len(list_distinct(list_concat(x.ws, y.ws))) AS u FROM w x JOIN w y ON x.id < y.id)
 SELECT a, b, round(i / u, 4) AS similarity FROM p WHERE i > 0 AND i * 2 >= u""")
 def jaccard_names(spark, sf):
-    """Pairs of names with a word-set similarity of a half or more."""
+    """Pairs of names with a word-set similarity of a half or more, among the smallest parts only; see jaccard_names_whole."""
     s = table(spark, sf, "part").where("p_size <= 3").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"))
     pairs = X.shared_word_pairs(s, s, "name").where("a < b")
     sim = X.jaccard(X.word_set(F.col("name_a")), X.word_set(F.col("name_b")))
     return pairs.select("a", "b", sim.alias("similarity")).where("similarity >= 0.5")
 
 
+@query("""WITH s AS (SELECT p_partkey AS id, lower(p_name) AS name FROM part), c AS (SELECT name, min(id) AS rep FROM s GROUP BY 1),
+w AS (SELECT rep, name, list_distinct(list_filter(regexp_split_to_array(name, '[^a-z0-9]+'), lambda w: w <> '')) AS ws FROM c),
+p AS (SELECT x.rep AS a, y.rep AS b, len(list_intersect(x.ws, y.ws)) AS i, len(list_distinct(list_concat(x.ws, y.ws))) AS u FROM w x JOIN w y ON x.rep < y.rep)
+SELECT a, b, round(i / u, 4) AS similarity FROM p WHERE i > 0 AND i * 2 >= u UNION ALL SELECT rep, id, 1.0::DOUBLE FROM s JOIN w ON w.name = s.name WHERE id <> rep AND len(ws) > 0""")
+def jaccard_names_whole(spark, sf):
+    """Classes of equal names of all parts with their members, and classes with a word-set similarity of a half or more."""
+    return X.similar_name_classes(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
+
+
 @query("""WITH n AS (SELECT DISTINCT lower(p_type) AS t FROM part), w AS (SELECT t, list_distinct(list_filter(regexp_split_to_array(t, '[^a-z0-9]+'), lambda w: w <> '')) AS ws FROM n),
 h AS (SELECT p_partkey AS id, lower(p_type) || ' ' || CAST(p_size AS VARCHAR) AS name FROM part)
 SELECT id, t, round(least(length(t), length(name)) / greatest(length(t), length(name)), 4) AS ratio FROM h JOIN n ON contains(name, t) WHERE length(t) >= 6 AND least(length(t), length(name)) / greatest(length(t), length(name)) >= 0.65""")
