@@ -255,11 +255,18 @@ def message_key_hash(spark, sf):
 
 @query("""SELECT c_name AS name FROM customer WHERE c_custkey % 5 = 0 UNION SELECT s_name FROM supplier UNION SELECT c_name FROM customer WHERE c_custkey % 3 = 0""")
 def union_names(spark, sf):
-    """Distinct union of name sets."""
+    """Distinct union of name sets, of some customers only; see union_names_whole."""
     c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
     return c.where("c_custkey % 5 = 0").select(F.col("c_name").alias("name")).union(s.select("s_name")).union(c.where("c_custkey % 3 = 0").select("c_name")).distinct()
 
 
+@query("""SELECT c_name AS name FROM customer UNION SELECT s_name FROM supplier UNION SELECT p_name FROM part""")
+def union_names_whole(spark, sf):
+    """Distinct union of the names of all customers, suppliers and parts."""
+    c, s, p = (table(spark, sf, t) for t in ("customer", "supplier", "part"))
+    return c.select(F.col("c_name").alias("name")).union(s.select("s_name")).union(p.select("p_name")).distinct()
+
+
 @query("""SELECT message_key, array_to_string(list_filter(['company', 'inn', 'phone', 'priority'], lambda f: CASE f WHEN 'company' THEN NOT coalesce(trim(company) <> '', false) WHEN 'inn' THEN inn IS NULL WHEN 'phone' THEN phone IS NULL ELSE priority IS NULL END), '|') AS missing FROM (WITH """ + M.SQL_BASE + """ SELECT * FROM b) x""")
 def missing_fields(spark, sf):
     """Asked for and not present."""

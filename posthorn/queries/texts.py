@@ -123,8 +123,17 @@ def article_extract(spark, sf):
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS quantity, 'pcs' AS unit FROM lineitem WHERE l_linenumber <= 2""")
 def quantity_extract(spark, sf):
-    """Quantities read back from written line items."""
-    li = table(spark, sf, "lineitem").where("l_linenumber <= 2")
+    """Quantities read back from written line items, of the first two lines only; see quantity_extract_whole."""
+    return _quantities(table(spark, sf, "lineitem").where("l_linenumber <= 2"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS quantity, 'pcs' AS unit FROM lineitem""")
+def quantity_extract_whole(spark, sf):
+    """Quantities read back from all written line items."""
+    return _quantities(table(spark, sf, "lineitem"))
+
+
+def _quantities(li):
     body = F.concat(F.lit("Pos "), F.col("l_linenumber").cast("string"), F.lit(": ART-"), F.col("l_partkey").cast("string"), F.lit(" "), F.col("l_quantity").cast("int").cast("string"), F.lit(" шт"))
     q = li.select("l_orderkey", "l_linenumber", "l_partkey", F.get(T.quantities(body), F.lit(0)).alias("q"))
     return q.select("l_orderkey", "l_linenumber", "l_partkey", "q.quantity", "q.unit")
