@@ -8,8 +8,8 @@ lower case, upper case and digits and that no certain span overlaps; it is a sec
 corpus says so.
 
 The corpus says so by ownership: the SHA-256 of every candidate's value is counted by distinct
-repositories and distinct owners. A value that more than ``MAX_OWNERS`` owners or
-``MAX_REPOSITORIES`` repositories hold is a widely copied example; any other is live-looking.
+repositories and distinct owners. A value that more than ``MAX_OWNERS`` owners hold is a widely
+copied example; any other is live-looking, however many repositories of its owners hold it.
 Bare candidates that are live-looking are added to the spans; certain spans stay whatever their
 verdict, which is reported beside them.
 
@@ -32,7 +32,6 @@ from posthorn.plans.scratch import materialise
 
 KINDS = ("assign", "access", "hex", "bare")
 MAX_OWNERS = 2
-MAX_REPOSITORIES = 20
 
 # Patterns: fixed values.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
@@ -109,7 +108,7 @@ def candidates(docs: DataFrame, keys: dict[str, Column], owner: Column, reposito
     )
 
 
-def ownership(found: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+def ownership(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """``hash``, ``n_owners``, ``n_repositories`` and ``live`` for every candidate value of the corpus."""
     holders = F.array(
         F.struct(F.lit(1).alias("is_owner"), F.col("owner").alias("who")), F.struct(F.lit(0).alias("is_owner"), F.col("repository").alias("who"))
@@ -118,17 +117,17 @@ def ownership(found: DataFrame, max_owners: int = MAX_OWNERS, max_repositories:
         found.select(F.explode(F.concat(F.transform("certain", lambda c: c["hash"]), F.transform("bare", lambda c: c["hash"]))).alias("hash"), holders.alias("h"))
         .select("hash", F.explode("h").alias("h")).select("hash", "h.is_owner", "h.who").distinct()
         .groupBy("hash").agg(F.sum("is_owner").alias("n_owners"), F.sum(1 - F.col("is_owner")).alias("n_repositories"))
-        .withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories))
+        .withColumn("live", F.col("n_owners") <= max_owners)
     )
 
 
-def judged(found: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+def judged(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """``found`` with ``added`` (the live-looking bare spans), ``n_live`` and ``n_example`` (spans by verdict)."""
     each = found.where((F.size("certain") > 0) | (F.size("bare") > 0)).select(
         "row", F.explode(F.concat("certain", "bare")).alias("s"), F.col("s.hash").alias("hash")
     )
     verdict = (
-        each.join(ownership(found, max_owners, max_repositories), "hash").groupBy("row")
+        each.join(ownership(found, max_owners), "hash").groupBy("row")
         .agg(
             F.collect_list(F.when(F.col("live") & (F.col("s.kind") == 3), F.col("s"))).alias("added"),
             F.sum(F.col("live").cast("long")).alias("n_live"),

@@ -79,6 +79,15 @@ def test_redaction(spark):
     assert HEX40 not in text[17] and text[16].endswith("token:[SECRET]")
 
 
+def test_a_value_of_one_owner_is_live_in_any_number_of_documents(spark):
+    texts = [(i, f"key {LIVE} number {i}", "a") for i in range(60)] + [(100 + i, f"key {COPIED}", f"o{i}") for i in range(3)]
+    df = spark.createDataFrame([(d, t, s, "clash", 1) for d, t, s in texts], SCHEMA)
+    spans = {r.doc_id: r.spans for r in secrets.scan(df).collect()}
+    assert {spans[i] for i in range(60)} == {f"bare:4:{4 + len(LIVE)}"} and spans[100] == ""
+    text = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert all(text[i] == f"key [SECRET] number {i}" for i in range(60)) and text[100] == f"key {COPIED}"
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert secrets.scan(df).collect() == [] and secrets.redact(df).collect() == []
