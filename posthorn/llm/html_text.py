@@ -9,7 +9,10 @@ and quotations inside an article are prose and never a template.
 
 After that, blocks go by what their elements say: navigation, headers, footers, sidebars,
 notices, adverts, forms, comments and everything without readable text, by tag, role, class or
-id; and, if a page has an ``article`` (else a ``main``), whatever stands outside it.
+id; and, if a page has an ``article`` or a ``main``, whatever stands outside all of them. A name
+counts as a whole: a class or id is one, and so is a label, and each of its pieces must say so
+(``cookie-notice``, but not ``with-sidebar``). An ``article`` or ``main``, and an element that
+contains one, is never dropped by its name.
 
 A block is the text between tags that break lines. Character references are decoded, white space
 inside a block becomes one space, blocks are trimmed and joined in page order by an empty line.
@@ -60,6 +63,8 @@ _DROP_NAMES = frozenset(
     "widget widgets".split()
 )
 _EDGE_NAMES = frozenset("header footer masthead topbar".split())
+#: Pieces that name nothing by themselves and may stand beside the others.
+_NEUTRAL_NAMES = frozenset("block box buttons links list site".split())
 _CONTENT_NAMES = frozenset("article body content entry main post story text".split())
 _PROSE = frozenset("blockquote caption code dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 li ol p pre table tbody td tfoot th thead tr ul".split())
 
@@ -74,33 +79,42 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 class _Node:
     """An open element."""
 
-    __slots__ = ("tag", "dropped", "area", "inside", "counts", "parts", "number")
+    __slots__ = ("tag", "dropped", "named", "inside", "counts", "parts", "number")
 
-    def __init__(self, tag: str, dropped: bool, area: int, inside: bool, counts: bool, number: int, first: bytes) -> None:
-        self.tag, self.dropped, self.area, self.inside, self.counts, self.number = tag, dropped, area, inside, counts, number
+    def __init__(self, tag: str, dropped: bool, named: int, inside: bool, counts: bool, number: int, first: bytes) -> None:
+        self.tag, self.dropped, self.named, self.inside, self.counts, self.number = tag, dropped, named, inside, counts, number
         self.parts = [first]
 
 
-def _says_drop(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
-    """Whether an element's tag and attributes mark it as no main text; and its classes and ids."""
+def _is_named(name: str, dropped: frozenset[str]) -> bool:
+    """Whether all pieces of a class, id or label are in ``dropped`` or neutral, and not all neutral."""
+    pieces = set(_NAME.findall(name))
+    return not pieces.isdisjoint(dropped) and pieces <= dropped | _NEUTRAL_NAMES
+
+
+def _says_drop(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, str]:
+    """Whether an element's tag, role or style marks it as no main text; whether a name does; and its names."""
     drop = tag in _DROP_TAGS or tag == "footer" or (tag == "header" and not inside)
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return drop, ""
-    names = []
+        return drop, False, ""
+    names, whole = [], []
     for m in _ATTRIBUTE.finditer(attributes):
         key = m[1].lower()
         value = (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id", "aria-label"):
             names.append(value)
+            whole += [value] if key == "aria-label" else value.split()
         elif key == "role":
             drop = drop or not _DROP_ROLES.isdisjoint(value.split())
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
             drop = True
     joined = " ".join(names)
-    tokens = set(_NAME.findall(joined))
-    if not drop and tokens and tag not in ("html", "body"):
-        drop = not tokens.isdisjoint(_DROP_NAMES) or (not tokens.isdisjoint(_EDGE_NAMES) and tokens.isdisjoint(_CONTENT_NAMES))
-    return drop, joined
+    named = False
+    if whole and tag not in ("html", "body", "article", "main"):
+        named = any(_is_named(n, _DROP_NAMES) for n in whole) or (
+            any(_is_named(n, _DROP_NAMES | _EDGE_NAMES) for n in whole) and _CONTENT_NAMES.isdisjoint(_NAME.findall(joined))
+        )
+    return drop, named, joined
 
 
 def parse(page: str) -> tuple[int, list[int], list[tuple[str, bool, list[int]]]]:
@@ -110,10 +124,13 @@ def parse(page: str) -> tuple[int, list[int], list[tuple[str, bool, list[int]]]]
     the candidates around it.
     """
     hashes: list[int] = []
-    blocks: list[tuple[str, bool, int, list[int]]] = []
+    blocks: list[tuple[str, bool, int, bool, list[int]]] = []
     stack: list[_Node] = [_Node("", False, 0, False, False, -1, b"")]
     words: list[str] = []
-    areas = 0
+    # Elements with such a name, until an article or main is found in them, and the next ones around them. As the
+    # ones around an element lose this with it, the innermost one decides.
+    names_drop, around_named = [False], [0]
+    areas = False
     at = 0
     size = len(page)
 
@@ -124,7 +141,7 @@ def parse(page: str) -> tuple[int, list[int], list[tuple[str, bool, list[int]]]]
             if text:
                 top = stack[-1]
                 top.parts.append(text.encode())
-                blocks.append((text, top.dropped, top.area, [n.number for n in stack if n.counts]))
+                blocks.append((text, top.dropped, top.named, top.inside, [n.number for n in stack if n.counts]))
 
     def close(n: int) -> None:
         """Close the open elements from number n on."""
@@ -159,7 +176,7 @@ def parse(page: str) -> tuple[int, list[int], list[tuple[str, bool, list[int]]]]
             found = n and stack[n].tag == tag
             if block:
                 flush()
-            elif found and stack[n].dropped != stack[n - 1].dropped:
+            elif found and (stack[n].dropped, stack[n].named) != (stack[n - 1].dropped, stack[n - 1].named):
                 flush()
             if found:
                 close(n)
@@ -192,23 +209,30 @@ def parse(page: str) -> tuple[int, list[int], list[tuple[str, bool, list[int]]]]
                         close(low)
                         break
         top = stack[-1]
-        says, names = _says_drop(tag, attributes, top.inside)
+        says, named, names = _says_drop(tag, attributes, top.inside)
         drop = top.dropped or says
-        inside, area = top.inside, top.area
+        inside, by_name = top.inside, top.named
         if not drop and tag in ("article", "main"):
-            inside = True
-            kind = 2 if tag == "article" else 1
-            area, areas = max(area, kind), max(areas, kind)
-        counts = block and tag not in ("html", "head", "body", "main", "article") and not (inside and not drop and tag in _PROSE)
-        if not block and drop and not top.dropped:
+            k = by_name
+            while names_drop[k]:
+                names_drop[k] = False
+                k = around_named[k]
+            inside = areas = True
+        if named:
+            names_drop.append(True)
+            around_named.append(by_name)
+            by_name = len(names_drop) - 1
+        gone = drop or names_drop[by_name]
+        counts = block and tag not in ("html", "head", "body", "main", "article") and not (inside and not gone and tag in _PROSE)
+        if not block and (drop, by_name) != (top.dropped, top.named):
             flush()
         if counts:
             hashes.append(0)
-        stack.append(_Node(tag, drop, area, inside, counts, len(hashes) - 1 if counts else -1, f"{tag} {names}".encode()))
+        stack.append(_Node(tag, drop, by_name, inside, counts, len(hashes) - 1 if counts else -1, f"{tag} {names}".encode()))
     flush()
     close(1)
     root = xxhash.xxh64_intdigest(b"\x00".join(stack[0].parts)) - 2**63
-    out = [(t, d or a < areas, [hashes[i] for i in around]) for t, d, a, around in blocks]
+    out = [(t, d or (areas and not a) or names_drop[n], [hashes[i] for i in around]) for t, d, n, a, around in blocks]
     return root, hashes, out
 
 

@@ -36,6 +36,22 @@ def test_blocks(page, want):
     assert kept(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div class='content with-sidebar'><p>a</p></div>", ["a"]),
+        ("<main class='no-sidebar'><p>a</p></main>", ["a"]),
+        ("<article class='post comments-open'><p>a</p></article>", ["a"]),
+        ("<div class='sidebar'>s<div><article class='widget'><p>a</p></article></div></div><p>o</p>", ["a"]),
+        ("<main><p>a</p><article><p>card</p></article><p>b</p></main><p>o</p>", ["a", "card", "b"]),
+        ("<main><div class='popup page'><p>a</p><article><p>b</p></article></div><div class='related'>r</div></main>", ["a", "b"]),
+        ("<p>a</p><div class='x share-buttons'>s</div><div class='site-header'>h</div><div class='box'>b</div><div aria-label='text with sidebar'>c</div>", ["a", "b", "c"]),
+    ],
+)
+def test_names_count_as_wholes_and_main_text_stays(page, want):
+    assert kept(page) == want
+
+
 def test_driver_pages_against_a_plain_reading(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
     got = {r.page_id: r for r in h.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
