@@ -20,7 +20,10 @@ date      yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy of a     the day among the 73 049 d
           day in 1900-2099
 ========  ==========================================  ==========================================
 
-What looks alike but doesn't validate (a number that fails Luhn, 2023-02-30) is left alone.
+What looks alike but doesn't validate (a number that fails Luhn, 2023-02-30) is left alone. Of
+digits in groups the leftmost, then longest run of whole groups that is a card is taken, so a
+number before or behind it does no harm; likewise for the groups of an IBAN, of which those that
+give its country's length come first. What is left of such groups is searched for the other kinds.
 Separators, the number of digits and everything else of the text stay.
 
 A permutation of n digits is a Feistel network of ROUNDS rounds on its two halves with addition
@@ -44,17 +47,34 @@ ROUNDS = 8
 DEMO_KEY = "posthorn demonstration key"
 KINDS = ("email", "iban", "card", "ip", "phone", "ssn", "date")
 
+#: Characters of the IBANs of a country. Fixed values.
+IBAN_LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "NO15 BE16 DK18 FI18 FK18 FO18 GL18 NL18 SD18 MK19 SI19 AT20 BA20 EE20 KZ20 LT20 LU20 MN20 XK20 CH21 HR21 LI21 LV21 BG22 BH22 CR22 DE22 GB22 "
+        "GE22 IE22 ME22 RS22 VA22 AE23 GI23 IL23 IQ23 OM23 SO23 TL23 AD24 CZ24 ES24 MD24 PK24 RO24 SA24 SE24 SK24 TN24 VG24 AO25 CV25 GW25 LY25 MZ25 "
+        "PT25 ST25 DZ26 IR26 IS26 TR26 BI27 CF27 CG27 CM27 DJ27 FR27 GA27 GR27 IT27 KM27 MC27 MG27 MR27 SM27 TD27 AL28 AZ28 BF28 BJ28 BY28 CI28 CY28 "
+        "DO28 GT28 HN28 HU28 LB28 MA28 ML28 NE28 NI28 PL28 SN28 SV28 TG28 BR29 EG29 PS29 QA29 UA29 JO30 KW30 MU30 YE30 MT31 SC31 LC32 RU33 "
+    ).split()
+}
+#: A run of digit groups leaves its last group to an address, a day or a mail address that it begins.
+_TAIL = r"(?![0-9])(?!(?<=\x20[0-9]{1,3})[./][0-9]{1,3}[./][0-9])(?!(?<=\x20[0-9]{1,20})[A-Za-z0-9._%+-]{0,64}@[A-Za-z0-9-]{1,63}\.)"
+_IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?"
+_CARD = r"[0-9](?:[\x20-]?[0-9]){12,18}"
 # Patterns: fixed values, in the order in which they are tried at a position.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9]){_IBAN}(?![A-Za-z0-9])(?:\x20[0-9\x20-]*[0-9](?![A-Za-z]){_TAIL})?",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "phone": r"(?<![0-9+])\+1[\x20.-]?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[\x20.-]?\(?[0-9]{1,4}\)?){2,5}(?![0-9])|(?<![0-9-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9]|-[0-9])",
-    "card": r"(?<![0-9-])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9]|-[0-9])",
+    "card": rf"(?<![0-9-])(?=[0-9](?:[\x20-]?[0-9]){{12}})[0-9][0-9\x20-]{{11,}}[0-9]{_TAIL}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Kinds that are looked for in what cards and IBANs leave of a match.
+OTHERS = ("ip", "date", "ssn", "phone")
+_PIECES = "array<struct<kind:string,text:string>>"
 
 
 def _digits(c: Column) -> Column:
@@ -183,16 +203,75 @@ def _ssn(m: Column, key: Column) -> Column:
 _MAKERS = {"email": _email, "iban": _iban, "card": _card, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date}
 
 
-def replacement(match: Column, key: Column) -> Column:
-    """struct<kind, text> for a match of ANY: its pseudonym, or the match itself with a null kind."""
-    out = F.struct(F.lit(None).cast("string").alias("kind"), match.alias("text"))
-    for kind in reversed(list(PATTERNS)):
+def _piece(kind: str | None, text: Column) -> Column:
+    return F.struct(F.lit(kind).cast("string").alias("kind"), text.alias("text"))
+
+
+def replacement(match: Column, key: Column, kinds: tuple[str, ...]) -> Column:
+    """struct<kind, text> for a match of one of ``kinds``: its pseudonym, or the match itself with a null kind."""
+    out = _piece(None, match)
+    for kind in reversed(kinds):
         new = _MAKERS[kind](match, key)
         is_kind = F.regexp_like(match, F.lit(f"^(?:{PATTERNS[kind]})$"))
-        out = F.when(is_kind & new.isNotNull(), F.struct(F.lit(kind).alias("kind"), new.alias("text"))).otherwise(out)
+        out = F.when(is_kind & new.isNotNull(), _piece(kind, new)).otherwise(out)
     return out
 
 
+def _windows(text: Column, kind: str, group: str, most: int, shape: str, key: Column, first: Callable[[Column], Column] | None = None) -> Column:
+    """Pieces of ``text``: runs of at most ``most`` whole groups that are a valid ``kind``, and what is between them.
+
+    The leftmost run comes first, of those that begin together one that is ``first``, else the longest.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(f"{group}+|(?:(?!{group}).)+"), F.lit(0))  # groups and separators in turn
+
+    def body(t: Column) -> Column:
+        last = F.floor((F.size(t) - 1) / 2).cast("int")
+        separator = lambda k: F.coalesce(F.get(t, 2 * k + 1), F.lit(""))
+
+        def run(i: Column, j: Column) -> Column:
+            w = F.array_join(F.slice(t, 2 * i + 1, 2 * (j - i) + 1), "")
+            new = _let(w, lambda x: F.when(F.regexp_like(x, F.lit(f"^{shape}$")), _MAKERS[kind](x, key)))
+            return F.struct(j.alias("j"), w.alias("old"), new.alias("new"))
+
+        def step(s: Column, i: Column) -> Column:
+            runs = F.filter(F.transform(F.sequence(i, F.least(i + (most - 1), last)), lambda j: run(i, j)), lambda x: x["new"].isNotNull())
+            longest = lambda x: F.get(x, F.size(x) - 1)
+            best = _let(runs, lambda x: F.coalesce(F.get(F.filter(x, lambda y: first(y["old"])), F.lit(0)), longest(x)) if first else longest(x))
+
+            def take(b: Column) -> Column:
+                none = F.struct(s["next"].alias("next"), F.concat(s["rest"], F.get(t, 2 * i), separator(i)).alias("rest"), s["out"].alias("out"))
+                out = F.concat(s["out"], F.array(_piece(None, s["rest"]), _piece(kind, b["new"])))
+                return F.when(b.isNull(), none).otherwise(F.struct((b["j"] + 1).alias("next"), separator(b["j"]).alias("rest"), out.alias("out")))
+
+            return F.when(i < s["next"], s).otherwise(_let(best, take))
+
+        start = F.struct(F.lit(0).alias("next"), F.lit("").alias("rest"), F.array().cast(_PIECES).alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), last), start, step, lambda s: F.concat(s["out"], F.array(_piece(None, s["rest"]))))
+
+    return _let(tokens, body)
+
+
+def _each(pieces: Column, pattern: str, body: Callable[[Column], Column]) -> Column:
+    """``pieces`` with matches of ``pattern`` in those without a kind replaced by the pieces that ``body`` gives."""
+
+    def scan(text: Column) -> Column:
+        gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return F.flatten(F.zip_with(gaps, hits, lambda g, h: F.concat(F.array(_piece(None, g)), F.when(h.isNull(), F.array().cast(_PIECES)).otherwise(body(h)))))
+
+    return F.flatten(F.transform(pieces, lambda p: F.when(p["kind"].isNull() & F.regexp_like(p["text"], F.lit(pattern)), scan(p["text"])).otherwise(F.array(p))))
+
+
+def replacements(match: Column, key: Column) -> Column:
+    """Pieces of a match of ANY, as _PIECES: pseudonyms, and with a null kind what stays."""
+    lengths = F.create_map(*(F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair))
+    of_country = lambda w: F.coalesce(F.length(F.regexp_replace(w, " ", "")) == F.try_element_at(lengths, F.substring(w, 1, 2)), F.lit(False))
+    whole = F.array(replacement(match, key, ("email", *OTHERS)))
+    ibans = _windows(match, "iban", "[A-Z0-9]", 30, _IBAN, key, of_country)
+    out = F.when(F.regexp_like(match, F.lit(f"^(?:{PATTERNS['iban']})$")), ibans).otherwise(whole)
+    out = _each(out, PATTERNS["card"], lambda h: _windows(h, "card", "[0-9]", 19, _CARD, key))
+    return _each(out, "|".join(f"(?:{PATTERNS[k]})" for k in OTHERS), lambda h: F.array(replacement(h, key, OTHERS)))
+
+
 def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, text: str = "text", counts: bool = False) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; ``counts`` adds ``n_<kind>`` columns.
 
@@ -202,12 +281,12 @@ def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, text: str = "text", count
     t = F.col(f"c{docs.columns.index(text)}")
     plain = docs.toDF(*names)
     secret = F.lit(key)
-    found = F.when(t.rlike(ANY), F.transform(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda m: replacement(m, secret)))
+    found = F.when(t.rlike(ANY), F.transform(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda m: replacements(m, secret)))
     marked = plain.withColumn("__f", found)
     gaps = F.split(t, ANY, -1)
-    whole = F.array_join(F.zip_with(gaps, F.col("__f"), lambda g, m: F.concat(g, F.coalesce(m["text"], F.lit("")))), "")
+    whole = F.array_join(F.zip_with(gaps, F.col("__f"), lambda g, m: F.concat(g, F.coalesce(F.array_join(m["text"], ""), F.lit("")))), "")
     new = F.when(F.col("__f").isNull(), t).otherwise(whole)
-    kinds = F.transform("__f", lambda m: m["kind"])
+    kinds = F.transform(F.flatten("__f"), lambda m: m["kind"])
     tally = [F.coalesce(F.size(F.array_compact(kinds)) - F.size(F.array_remove(F.array_compact(kinds), k)), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS]
     shown = [new.alias(n) if i == docs.columns.index(text) else F.col(n) for i, n in enumerate(names)]
     out = marked.select(*shown, *(tally if counts else []))

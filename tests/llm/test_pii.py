@@ -75,6 +75,28 @@ def test_formats_stay_valid_and_equal_values_stay_linked(spark):
     assert odd == f"é {b} 😀"
 
 
+def test_valid_values_inside_longer_matches_are_found(spark):
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    texts = [
+        f"{card} 12/25", "4111111111111111 123", "7 4111111111111111", f"1 2 3 5 {card} 4", "4111-1111-1111-1111-12", f"+4 {card}", "7654321 " * 400 + card,
+        f"{iban} EUR", f"{iban} 2024", f"{iban} {card}", f"AB12 {iban}", f"AB12 THAT WITH THIS FROM {card}", f"{card} 2001-02-03", "5 2001-02-03 12345",
+        f"{card} 10.0.0.1", f"{card} 123@aa.com", "joe@aa.bb.cc.dd.ee.ff.gg.hh.ii.jj.com", f"{card} 12/25/2001", "9 " * 2000,
+    ]
+    got = run(spark, texts)
+    cards = lambda t: [x for x in re.findall(r"(?=(?<![0-9])([0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4})(?![0-9]))", t) if luhn(x)]
+    for t, g in zip(texts[:7], got, strict=False):
+        assert "1111" not in g and len(g) == len(t) and cards(g), (t, g)
+    assert got[0].endswith(" 12/25") and got[1].endswith(" 123") and got[2].startswith("7 ") and got[3].startswith("1 2 3 5 ") and got[3].endswith(" 4") and got[4].endswith("-12")
+    for i in (7, 8, 9, 10):
+        new = re.search(r"ES\d\d \d{4} \d{4} \d{4} \d{4} \d{4}", got[i])[0].replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1 and "2100 0418" not in got[i]
+    assert got[7].endswith(" EUR") and got[8].endswith(" 2024") and cards(got[9][30:]) and got[10].startswith("AB12 ES")
+    assert not any("1111 1111" in got[i] for i in (9, 11, 12, 14, 15, 17)) and got[11].startswith("AB12 THAT WITH THIS FROM ")
+    assert re.fullmatch(r"[\d ]{19} (19|20)\d\d-\d\d-\d\d", got[12]) and not got[12].endswith("2001-02-03") and "2001-02-03" not in got[13]
+    assert not got[14].endswith("10.0.0.1") and got[15].endswith(".example") and re.fullmatch(r"u[0-9a-f]{16}@d[0-9a-f]{10}\.example", got[16])
+    assert re.fullmatch(r"[\d ]{19} \d\d/\d\d/\d{4}", got[17]) and not got[17].endswith("12/25/2001")
+
+
 def test_days_are_permuted(spark):
     days = [(datetime.date(1900, 1, 1) + datetime.timedelta(i)).isoformat() for i in range(0, 73049, 73)] + ["2099-12-31"]
     out = run(spark, days)
