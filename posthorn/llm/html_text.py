@@ -3,7 +3,7 @@
 Every page is parsed once. Each element that may belong to a template gets a hash of its whole
 subtree (tags, classes, ids and texts, bottom up). Spark counts, for each host, the distinct
 pages on which a hash occurs; a subtree on at least MIN_PAGES of them and SHARE of the host's
-pages is a template and its blocks go. Pages that are copies of each other count once, so a page
+pages, or on MANY_PAGES of them whatever their share, is a template and its blocks go. Pages that are copies of each other count once, so a page
 that is served under many urls is no template of itself. Headings, paragraphs, lists, tables
 and quotations inside an article are prose and never a template.
 
@@ -39,6 +39,7 @@ from posthorn.plans.scratch import materialise
 
 MIN_PAGES = 3
 SHARE = 0.3
+MANY_PAGES = 1000
 #: Templates (host and hash) up to which their table is broadcast; more are joined by row.
 BROADCAST_TEMPLATES = 200_000
 
@@ -258,12 +259,12 @@ def parsed(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     return materialise(picked.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "html-parsed")
 
 
-def templates(found: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def templates(found: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
     """``host`` and ``hash`` of the subtrees that recur on many different pages of a host."""
     each = found.select("host", "root", F.explode("subtrees").alias("hash")).distinct()
     counted = each.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     pages = found.select("host", "root").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    return counted.join(pages, "host").where(F.col("n") >= share * F.col("pages")).select("host", "hash")
+    return counted.join(pages, "host").where((F.col("n") >= share * F.col("pages")) | (F.col("n") >= many_pages)).select("host", "hash")
 
 
 def extract(
@@ -274,7 +275,7 @@ def extract(
     found = parsed(pages, key, url, html)
     known = materialise(templates(found, min_pages, share), "html-templates")
     if known.count() <= broadcast_templates:
-        # A template is on a share of a host's pages, so a host has few; their number is checked.
+        # A template is on a share of a host's pages or on many, so a host has few; their number is checked.
         own = known.groupBy("host").agg(F.collect_set("hash").alias("known"))
         told = found.join(F.broadcast(own), "host", "left")
     else:

@@ -88,5 +88,11 @@ def test_prose_of_articles_is_never_a_template(spark):
     assert {r.text for r in got} == {f"t{i}\n\nsame licence line" for i in range(8)}
 
 
+def test_a_section_of_a_large_host_has_templates(spark):
+    rows = [(i, f"http://a.org/{i}", f"<p>own text {i}</p>" + "<div>same box</div>" * (i < 1000) + "<div>less box</div>" * (i < 999), "") for i in range(4000)]
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0] == "own text 0\n\nless box" and got[999] == "own text 999" and got[3999] == "own text 3999"
+
+
 def test_empty_table(spark):
     assert h.extract(spark.createDataFrame([], SCHEMA)).collect() == []
