@@ -25,9 +25,12 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from posthorn.llm.rows import fingerprint
 from posthorn.plans.scratch import materialise
 
 KINDS = ("assign", "access", "hex", "bare")
@@ -42,9 +45,38 @@ HEX = r"[0-9a-f]{16,}"
 _TOKEN = "[A-Za-z0-9+/_-]"
 BARE = rf"(?<!{_TOKEN})(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z]){_TOKEN}{{20,}}"
 
+#: Values of an array that is run through at a time.
+PART = 256
+#: Code points of the pieces that a text is cut from.
+PIECE = 4096
 _SPAN = "array<struct<start:int,kind:int,end:int,since:int,hash:string>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _before(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each of some ints, what ``add`` makes of 0 and all ints in front of it, as one array.
+
+    Arrays can only grow by copying, so the values are run through in parts of PART: first the
+    parts' totals, then every part from its own start. The work grows with the number of values.
+    """
+
+    def body(v: Column) -> Column:
+        parts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / PART).cast("int"))
+        part = lambda c: F.slice(v, c * PART + 1, F.lit(PART))
+        grow = lambda values, first: F.aggregate(
+            values, F.struct(first.alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda s, x: F.struct(add(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"],
+        )
+        totals = F.transform(parts, lambda c: F.aggregate(part(c), F.lit(0), add))
+        return _let(grow(totals, F.lit(0)), lambda first: F.flatten(F.transform(parts, lambda c: grow(part(c), F.get(first, c)))))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, body(v)).otherwise(F.array().cast("array<int>")))
+
+
 def _found(text: Column, pattern: str, kind: int, value=lambda m: m, least: int = 1) -> Column:
     """The matches of ``pattern`` whose value has ``least`` characters, as _SPAN.
 
@@ -52,18 +84,24 @@ def _found(text: Column, pattern: str, kind: int, value=lambda m: m, least: int
     begins. Java's leftmost matches split the text, so gap lengths and match lengths add up to
     positions.
     """
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["gap"])
-        end = start + F.coalesce(F.length(p["hit"]), F.lit(0))  # one gap more than matches
-        v = value(p["hit"])
-        span = F.struct(
-            start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), (end - F.length(v)).alias("since"), F.sha2(v, 256).alias("hash")
-        )
-        return F.struct(end.alias("at"), F.when(F.length(v) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")), step, lambda acc: acc["out"])
+    def span(hit: Column, end: Column) -> Column:
+        return _let(
+            value(hit),
+            lambda v: F.struct(
+                (end - F.length(hit)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), (end - F.length(v)).alias("since"),
+                F.when(F.length(v) >= least, F.sha2(v, 256)).alias("hash"),
+            ),
+        )
+
+    def spans(p: Column) -> Column:
+        lengths = F.transform(p, lambda x: F.length(x["gap"]) + F.length(x["hit"]))
+        ends = F.zip_with(_before(lengths, lambda a, x: a + x), lengths, lambda a, x: a + x)
+        return F.filter(F.zip_with(p, ends, lambda x, end: span(x["hit"], end)), lambda x: x["hash"].isNotNull())
+
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)  # one more than matches
+    return _let(F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), spans)
 
 
 def _if(condition: Column, spans: Column) -> Column:
@@ -158,19 +196,32 @@ def scan(docs: DataFrame, key: str = "doc_id", owner: str = "source", repository
 
 
 def _cut(text: Column, spans: Column, by: str) -> Column:
-    """``text`` with the values of sorted ``spans`` replaced; spans that overlap are replaced together."""
-    at, out = (lambda a: a["at"]), (lambda a: a["out"])
+    """``text`` with the values of ``spans`` replaced; spans that overlap are replaced together.
 
-    def step(a: Column, s: Column) -> Column:
-        fresh = F.concat(out(a), F.substring(text, at(a) + 1, s["since"] - at(a)), F.lit(by))
-        return F.struct(F.greatest(at(a), s["end"]).alias("at"), F.when(s["since"] >= at(a), fresh).otherwise(out(a)).alias("out"))
+    Time grows with the text and the number of spans: a stretch is cut from pieces of PIECE code
+    points, and the pieces are joined once.
+    """
 
-    whole = F.aggregate(
-        F.array_sort(F.transform(spans, lambda s: F.struct(s["since"].alias("since"), s["end"].alias("end")))),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-        lambda a: F.concat(out(a), F.substring(text, at(a) + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    def stretch(pieces: Column, a: Column, b: Column) -> Column:
+        i, j = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+        piece = lambda n: F.coalesce(F.get(pieces, n), F.lit(""))
+        first, last = F.pmod(a, F.lit(PIECE)) + 1, F.pmod(b, F.lit(PIECE))
+        within = F.substring(piece(i), first, b - a)
+        across = F.concat(F.substring(piece(i), first, F.lit(PIECE)), F.array_join(F.slice(pieces, i + 2, j - i - 1), ""), F.substring(piece(j), F.lit(1), last))
+        return F.when(b <= a, "").when(i == j, within).otherwise(across)
+
+    def cut(s: Column) -> Column:
+        """``s``: spans by start. One that begins before an earlier one ends is no opener."""
+        done = _before(F.transform(s, lambda x: x["end"]), lambda a, x: F.greatest(a, x))  # where all earlier spans have ended
+        openers = F.filter(F.zip_with(s, done, lambda x, at: F.struct(at.alias("at"), x["since"].alias("since"))), lambda x: x["since"] >= x["at"])
+        whole = lambda pieces: F.concat(
+            F.array_join(F.transform(openers, lambda x: F.concat(stretch(pieces, x["at"], x["since"]), F.lit(by))), ""),
+            stretch(pieces, F.array_max(F.transform(s, lambda x: x["end"])), F.length(text)),
+        )
+        return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), whole)
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["since"].alias("since"), s["end"].alias("end"))))
+    return F.when(F.size(spans) > 0, _let(ordered, cut)).otherwise(text)
 
 
 def redact(
@@ -181,7 +232,7 @@ def redact(
     Only documents with bare candidates are joined with the corpus's verdict. The others are
     rewritten where they are read, without a shuffle.
     """
-    mark = F.xxhash64(*docs.columns)
+    mark = fingerprint(docs)
     found = candidates(docs, {"key": docs[key], "mark": mark}, docs[owner], docs[repository], docs[text])
     added = (
         judged(found).where(F.size("added") > 0)

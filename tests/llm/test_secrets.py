@@ -96,3 +96,22 @@ def test_empty_table(spark):
 def test_plan_is_native(spark):
     plan = secrets.scan(frame(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_time_grows_with_the_number_of_spans(spark, monkeypatch):
+    import time
+
+    n = 100_000
+    text = "é ".join(f"{i:016x}" for i in range(n)) + " tail"
+    df = spark.createDataFrame([(1, text, "a", "clash", 1)], SCHEMA)
+    began = time.time()
+    row = secrets.scan(df).first()
+    assert row.n_hex == n and row.spans.startswith("hex:0:16,hex:18:34,") and row.spans.endswith(f",hex:{18 * n - 18}:{18 * n - 2}")
+    assert secrets.redact(df).first().text == "é ".join(["[SECRET]"] * n) + " tail"
+    assert time.time() - began < 60
+    # Parts and pieces of one or two elements give the same rows as large ones.
+    want = sorted(map(repr, map(tuple, secrets.redact(frame(spark)).collect())))
+    monkeypatch.setattr(secrets, "PART", 2)
+    monkeypatch.setattr(secrets, "PIECE", 3)
+    assert sorted(map(repr, map(tuple, secrets.redact(frame(spark)).collect()))) == want
+    assert sorted(map(repr, map(tuple, secrets.scan(frame(spark)).collect()))) == sorted(map(repr, brute(rows())))
