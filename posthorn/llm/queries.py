@@ -39,7 +39,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     sized = mixing.measured(_table(spark, sf_dir, "documents"))
-    return mixing.mix(sized).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "source")
+    return mixing.mix(sized).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "copies", F.get("slots", F.lit(0)).alias("first_slot"), "source")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
