@@ -9,7 +9,7 @@ SCHEMA = "page_id long, url string, html string, text string"
 
 
 def kept(page):
-    return [t for t, said, _ in h.parse(page)[2] if not said]
+    return h.kept(h.parse(page))[0]
 
 
 @pytest.mark.parametrize(
@@ -52,6 +52,73 @@ def test_names_count_as_wholes_and_main_text_stays(page, want):
     assert kept(page) == want
 
 
+@pytest.mark.parametrize("name", ["no-sidebar", "content has-sidebar", "long-form", "ad-free", "comment-page", "promoted", "post social-science", "form-follows-function"])
+def test_wrappers_keep_their_text(name):
+    assert kept(f"<div class='{name}'><p>a</p><p>b</p></div>") == ["a", "b"]
+    assert kept(f"<body class='{name}'><article class='post {name}'><p>a</p></article></body>") == ["a"]
+    assert kept(f"<div class='{name}'><div><main><p>a</p></main></div></div>") == ["a"]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>a</p><script src=/x/>var t = 1</script><p>b</p></article>", ["a", "b"]),
+        ("<article><p>a</p><svg><path d=1><p>b</p></article><footer>f</footer>", ["a", "b"]),
+        ("<article><p>a</p><object data=x><p>b</p></article><p>o</p>", ["a", "b"]),
+        ("<article><p>a<noscript>x</noscript> b<svg/> c<svg a=1>t</svg></p><noscript><p>d</p></article>", ["a b c", "d"]),
+        ("<p>a</p><!-- never <p>b</p>", ["a"]),
+        ("<p>a < b > c</p> <3 <", ["a < b > c", "<3 <"]),
+        ("<p title=it's>a</p><p title='x>y'>b</p><a \"q>c</a>", ["a", "b", "c"]),
+    ],
+)
+def test_broken_markup(page, want):
+    assert kept(page) == want
+
+
+def test_time_grows_with_the_page():
+    import time
+
+    for page, want in [
+        ('<a "' * 250_000, ['<a "' * 250_000]),
+        ('<a b=">" ' * 110_000, None),
+        ("<p " * 300_000 + ">", []),
+        ("<div>" * 100_000 + "deep" + "</div>" * 100_000 + "<p>after</p>", ["deep", "after"]),
+        ("<div><b>" * 50_000 + "</i></section>" * 50_000 + "x", ["x"]),
+        ("<svg><object><noscript>" * 50_000 + "x", ["x"]),
+        ("<div class=ad>" * 50_000 + "x</div><article>y</article>", ["y"]),
+        ("<!" * 300_000, ["<!" * 300_000]),
+        ("<ul><li>a" * 30_000, ["a"] * 30_000),
+    ]:
+        began = time.time()
+        got = kept(page)
+        assert time.time() - began < 10, page[:30]
+        assert want is None or got == want, page[:30]
+
+
+def neutral(i):
+    """A page whose boilerplate says nothing by its markup; the article of a page differs from all others."""
+    return f"<div class=c1><div class=c2>Home Products Contact</div><div class=c3><p>own {i} text</p><p>more of {i}</p></div><div class=c4>All rights <b>kept</b></div></div>"
+
+
+def test_templates_alone_find_neutral_boilerplate(spark):
+    rows = [(i, f"http://n.org/{i}", neutral(i), "") for i in range(12)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.text for r in h.extract(df).collect()} == {f"own {i} text\n\nmore of {i}" for i in range(12)}
+    off = h.extract(df, min_pages=10**9).collect()
+    assert all(r.text == f"Home Products Contact\n\nown {r.page_id} text\n\nmore of {r.page_id}\n\nAll rights kept" and not r.n_template_blocks for r in off)
+
+
+def test_counting_checks_names(spark):
+    page = lambda i, name: f"<p>own {i}</p><div class='{name}'>told {i}</div>"
+    rows = [(i, f"http://big.org/{i}", page(i, "promo" if i < 25 else "skip" if i < 27 else "box"), "") for i in range(30)]
+    rows += [(100 + i, f"http://small.org/{i}", page(i, "promo" if i else "skip"), "") for i in range(3)]
+    for limit in (1000, 0):
+        got = {r.page_id: r for r in h.extract(spark.createDataFrame(rows, SCHEMA), broadcast_templates=limit).collect()}
+        assert all(got[i].text == f"own {i}" and got[i].n_named_blocks == 1 for i in range(25))
+        assert all(got[i].text == f"own {i}\n\ntold {i}" for i in range(25, 30))  # two pages of a large host prove nothing
+        assert all(got[100 + i].text == f"own {i}" for i in range(3))
+
+
 def test_driver_pages_against_a_plain_reading(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
     got = {r.page_id: r for r in h.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
@@ -75,7 +142,7 @@ def site():
 @pytest.mark.parametrize("limit", [1000, 0])
 def test_templates_recur_across_different_pages(spark, limit):
     got = h.extract(spark.createDataFrame(site(), SCHEMA), broadcast_templates=limit).collect()
-    assert got[0].__fields__ == ["page_id", "url", "text", "n_chars", "n_template_blocks"]
+    assert got[0].__fields__ == ["page_id", "url", "text", "n_chars", "n_template_blocks", "n_named_blocks"]
     text = [(r.page_id, r.text) for r in got]
     assert (2, "own text 2\n\nshared by two 1") in text and text.count((1, "own text 1\n\nshared by two 0")) == 2
     assert text.count((14, "copy\n\nsame page")) == 1
