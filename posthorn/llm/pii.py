@@ -15,7 +15,8 @@ card      13-19 digits, single spaces or hyphens      all digits but the last; L
 ip        four numbers of 0-255                       the 32 bits
 phone     ``+``, country code and 7-14 digits with    all digits behind the country code
           separators; or ddd-ddd-dddd                 (all digits without one)
-ssn       ddd-dd-dddd                                 the nine digits
+ssn       ddd-dd-dddd; area neither 000 nor 666 nor   the valid numbers
+          above 899, group and serial not zero
 date      yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy of a     the day among the 73 049 days of 1900-2099
           day in 1900-2099
 ========  ==========================================  ==========================================
@@ -47,6 +48,10 @@ ROUNDS = 8
 DEMO_KEY = "posthorn demonstration key"
 KINDS = ("email", "iban", "card", "ip", "phone", "ssn", "date")
 
+#: Calling codes of two digits; 1 and 7 are codes of one digit, all others have three. Fixed values.
+CODES = (
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+).split()
 #: Characters of the IBANs of a country. Fixed values.
 IBAN_LENGTHS = {
     x[:2]: int(x[2:])
@@ -176,9 +181,9 @@ def _ip(m: Column, key: Column) -> Column:
 
 
 def _phone(m: Column, key: Column) -> Column:
+    """The country code is read from the digits, so a number is one value however it is spaced."""
     d = _digits(m)
-    code = F.regexp_extract(m, r"^\+([0-9]{1,3})(?=[^0-9])", 1)  # digits up to the first separator
-    code = F.when(F.startswith(m, F.lit("+")) & (code == ""), F.substring(d, 1, 2)).otherwise(code)
+    code = F.when(F.startswith(m, F.lit("+")), F.regexp_extract(d, rf"^(?:[17]|{'|'.join(CODES)}|[0-9]{{3}})", 0)).otherwise("")
     rest = F.substring(d, F.length(code) + 1, F.length(d))
     new = F.concat(code, permute_digits(rest, key, "phone"))
     return F.when(F.length(d).between(8, 15) & (F.length(rest) >= 6), fill(m, new)).when(F.length(d).between(8, 15), fill(m, permute_digits(d, key, "phone")))
@@ -197,7 +202,15 @@ def _date(m: Column, key: Column) -> Column:
 
 
 def _ssn(m: Column, key: Column) -> Column:
-    return fill(m, permute_digits(_digits(m), key, "ssn"))
+    area, group, serial = (F.substring(m, a, n).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    # Areas without 666 are numbered 0 to 897, groups 0 to 98.
+    left = (area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1
+    pair = feistel(left, serial - 1, F.lit(898 * 99), F.lit(9999), key, F.lit("ssn"))
+    pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    number = lambda x: x + F.when(x >= 665, 2).otherwise(1)
+    new = _let(pair, lambda p: F.concat_ws("-", pad(number(F.floor(p["l"] / 99)), 3), pad(F.pmod(p["l"], F.lit(99)) + 1, 2), pad(p["r"] + 1, 4)))
+    return F.when(valid, new)
 
 
 _MAKERS = {"email": _email, "iban": _iban, "card": _card, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date}
