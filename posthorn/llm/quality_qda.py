@@ -4,7 +4,7 @@ A document becomes a vector of transformed statistics of its whole text. Each cl
 Gaussian whose covariance is shrunk twice, towards the pooled covariance (ALPHA) and towards a
 multiple of the identity (GAMMA). A score is the logistic function of the difference of the two
 log densities plus the log prior ratio; a density needs a Mahalanobis distance, computed by a
-triangular solve with the class's Cholesky factor, which is made once and kept in the model.
+forward substitution with the class's Cholesky factor, which is made once and kept in the model.
 
 The fit needs only counts, sums and sums of products per class. They are exact: statistics are
 rounded to 1/256, so the sums are sums of integers, Spark aggregates them over all labelled
@@ -13,8 +13,9 @@ sample is drawn.
 
 Statistics use the text only, never language, source, key or a label. A null or empty text has
 all statistics zero and is scored like any other. A label row without a quality or a document
-isn't used; if a document has several label rows the largest quality counts once. With no
-training rows of one of the classes every score is the prior. Repeated rows are separate rows;
+isn't used; if a document has several label rows the largest quality counts once. With less than
+two training rows of one of the classes every score is the prior. Statistics that don't vary at
+all over the training rows get a variance of FLOOR standard scores, so a fit never fails. Repeated rows are separate rows;
 empty tables give empty ones; other columns are ignored.
 """
 
@@ -38,6 +39,8 @@ FEATURES = (
 )
 SCALE = 256
 ALPHA, GAMMA = 0.25, 0.005
+#: The least variance, in statistics (1e-6 / SCALE**2) and in standard scores.
+FLOOR = 1e-6
 THRESHOLD = 0.3
 #: One label row in FOLDS is held out.
 FOLDS = 5
@@ -99,6 +102,14 @@ def fold(key: Column) -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("")), "utf-8")), F.lit(FOLDS))
 
 
+def _forward(factor: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The solution of a lower triangular system for many right sides, row by row."""
+    out = np.empty_like(right)
+    for i in range(len(factor)):
+        out[i] = (right[i] - factor[i, :i] @ out[:i]) / factor[i, i]
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     """Means, Cholesky factors and log prior ratio of the two classes."""
@@ -116,7 +127,7 @@ class Model:
         x = x / SCALE
         log_density = []
         for mean, factor, det in zip(self.mean, self.factor, self.half_log_det, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T) if x.size else np.zeros((_D, 0))
+            z = _forward(factor, (x - mean).T)
             log_density.append(-0.5 * (z * z).sum(axis=0) - det)
         gap = np.clip(log_density[1] - log_density[0] + self.log_ratio, -500, 500)
         return 1 / (1 + np.exp(-gap))
@@ -142,6 +153,16 @@ def moments(x: DataFrame, labels: DataFrame) -> dict[int, tuple[int, np.ndarray,
     return out
 
 
+def _cholesky(c: np.ndarray) -> np.ndarray:
+    """The factor of a covariance; rounding may leave one that is singular, so its diagonal is raised until it isn't."""
+    more = 0.0
+    while True:
+        try:
+            return np.linalg.cholesky(c + more * np.diag(np.diag(c)))
+        except np.linalg.LinAlgError:
+            more = max(10 * more, 1e-12)
+
+
 def fit(found: dict[int, tuple[int, np.ndarray, np.ndarray]], alpha: float = ALPHA, gamma: float = GAMMA) -> Model:
     """The model of the moments of both classes."""
     n = [found.get(k, (0,))[0] for k in (0, 1)]
@@ -152,14 +173,14 @@ def fit(found: dict[int, tuple[int, np.ndarray, np.ndarray]], alpha: float = ALP
     mean = [found[k][1] / n[k] for k in (0, 1)]
     scatter = [found[k][2] - n[k] * np.outer(mean[k], mean[k]) for k in (0, 1)]
     pooled = (scatter[0] + scatter[1]) / (sum(n) - 2)
-    spread = np.sqrt(np.maximum(np.diag(pooled), 1e-6))  # shrinking to the identity is done on standard scores
+    spread = np.sqrt(np.maximum(np.diag(pooled), FLOOR))  # shrinking to the identity is done on standard scores
     factors = []
     for k in (0, 1):
         c = (1 - alpha) * scatter[k] / (n[k] - 1) + alpha * pooled
         c = c / np.outer(spread, spread)
-        c = (1 - gamma) * c + gamma * np.trace(c) / _D * np.eye(_D)
+        c = (1 - gamma) * c + gamma * max(np.trace(c) / _D, FLOOR) * np.eye(_D)
         c = c * np.outer(spread, spread) / SCALE**2
-        factors.append(np.linalg.cholesky(c))
+        factors.append(_cholesky(c))
     return Model((mean[0] / SCALE, mean[1] / SCALE), tuple(factors), ratio)
 
 

@@ -61,3 +61,45 @@ def test_odd_rows_and_empty_tables(spark):
     assert len({r.score for r in got}) == 1
     assert q.classify(docs.limit(0), labels).collect() == []
     assert len(q.classify(docs, labels.limit(0)).collect()) == 4
+
+
+def slow_statistics(t):
+    """FEATURES by their definitions, over characters instead of bytes."""
+    words = [w for w in __import__("re").split(r"[\x20\x09-\x0d]+", t) if w]
+    if not words:
+        return [0.0] * len(q.FEATURES)
+    solid = "".join(words)
+    lines = [x for x in t.split("\n") if __import__("re").search(r"[^\x20\x09-\x0d]", x)]
+    n, c = len(words), lambda chars: sum(x in chars for x in t)
+    upper, letters = c("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), sum(x.isascii() and x.isalpha() for x in t)
+    return [
+        math.log(1 + n), math.log(len(solid) / n), math.sqrt(c("#*$%&<>") / len(solid)), math.sqrt(upper / letters) if letters else 0,
+        math.sqrt(c("0123456789") / len(solid)), math.sqrt(c(".,;:?'\"()-") / len(solid)), math.sqrt(c("|") / n), math.sqrt(c("!") / n),
+        len(set(words)) / n**0.8, math.sqrt(sum(a == b for a, b in zip(words, words[1:], strict=False)) / n),
+        math.sqrt((len(lines) - len(set(lines))) / len(lines)), math.log(1 + n / len(lines)),
+        math.sqrt(max(words.count(w) for w in set(words)) / n), math.sqrt(sum(not x.isascii() for x in t) / len(solid)),
+    ]
+
+
+def test_statistics_are_their_definitions(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for t in [*texts, "é É ß|! 12 #a\nx\n\nx\n\x0b\t", "Hello, \"world\" (a-b); c: d? 'e'!", "|||", "\x00 \x85 "]:
+        assert q.statistics((t or "").encode()) == pytest.approx(slow_statistics(t or "")), t
+
+
+@pytest.mark.parametrize("texts", [["same text"] * 40, [None, ""] * 20, ["a b"] * 20 + [None] * 20])
+def test_training_rows_without_any_variance(spark, texts):
+    docs = spark.createDataFrame([(i, t, 0.5, 0) for i, t in enumerate(texts)], SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = q.classify(docs, labels).collect()
+    assert len(got) == 40 and all(0 <= r.score <= 1 for r in got)
+
+
+def test_forward_substitution_and_singular_covariances():
+    rng = np.random.default_rng(1)
+    a = np.tril(rng.normal(size=(14, 14))) + 5 * np.eye(14)
+    b = rng.normal(size=(14, 7))
+    assert np.allclose(a @ q._forward(a, b), b)
+    one = np.outer(np.arange(1.0, 15), np.arange(1.0, 15))
+    f = q._cholesky(one)
+    assert np.allclose(f @ f.T, one, rtol=1e-3)
