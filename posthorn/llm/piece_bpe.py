@@ -9,7 +9,8 @@ apart. Ids are then recovered from the end backwards.
 
 No piece of such a model holds the space mark behind another character, a line feed or any
 other character without a piece, so no merge crosses these places. A text is cut there, and a
-worker keeps the ids of the chunks it has met, in a table of bounded size.
+worker keeps the ids of the chunks it has met in tables of bounded size: two kinds of chunks, each
+with a new and an old table of at most CHUNKS chunks, and at most PAIRS verdicts on pairs of pieces.
 
 A null text is an empty one; its ids are the end id alone and it decodes to the empty text.
 Repeated rows are separate rows, an empty table gives an empty one and other columns are
@@ -35,9 +36,11 @@ MARK = "▁"
 #: Kinds of pieces in a model file.
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _NEVER = float("-inf")
-#: Chunks that a worker remembers (twice as many for a while), and characters of the longest of them.
+#: Chunks of one kind that a worker remembers (twice as many for a while), and characters of the longest of them.
 CHUNKS = 400_000
 CHUNK_CHARS = 200
+#: Pairs of pieces that a worker remembers; when there are as many, it forgets them all.
+PAIRS = 2_000_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -157,6 +160,8 @@ class PrefixTable:
                 pair = last[start] << 32 | token
                 ok = apart.get(pair)
                 if ok is None:
+                    if len(apart) >= PAIRS:
+                        apart.clear()
                     ok = apart[pair] = self._apart(last[start], token)
             else:
                 ok = whole[token]

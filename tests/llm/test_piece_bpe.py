@@ -52,6 +52,14 @@ def test_a_small_chunk_table_gives_the_same_ids(library, monkeypatch):
     assert len(own.words) <= 6 and len(own.words.old) <= 6
 
 
+def test_a_small_pair_table_gives_the_same_ids(library, monkeypatch):
+    monkeypatch.setattr(piece_bpe, "PAIRS", 7)
+    own = piece_bpe.Encoder(MODEL)
+    for text in random_texts(100, 6):
+        assert own.encode(text) == " ".join(map(str, library.encode(text, add_eos=True)))
+    assert len(own.table.apart) <= 7
+
+
 def test_digests_on_a_table(spark, library):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "null key"), (7, None), (7, None)]
     df = spark.createDataFrame([(d, t, 5) for d, t in rows], "doc_id long, text string, n_tokens int")
