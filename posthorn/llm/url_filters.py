@@ -8,10 +8,10 @@ so on until a level errs for no key. The first level that doesn't hold a key dec
 listed if that level's number is odd. Over the universe this is exact.
 
 All steps are DataFrame expressions: a level's bits come from a bitwise aggregate over word
-numbers and are read as a literal array. Level sizes are bounded by the list: a filter has
-``BITS_PER_KEY`` bits for each of its keys, level 0 has at most MAX_LISTED keys (checked;
-longer lists take an exact semi-join instead), and a later level holds false positives of the
-one before.
+numbers and are read as one binary literal. A filter has BITS_PER_KEY bits for each of its keys.
+Level 0 holds only listed keys, and a later level only keys that the one before takes wrongly,
+so all levels together take little more than one byte for each listed key that occurs in the
+corpus, however large the corpus is: the block list, a parameter, bounds what is sent to executors.
 
 Host and path of a url: the host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or
 the end, with A-Z lower-cased; the path follows up to ``?``, ``#`` or the end. A null url, or one
@@ -23,6 +23,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import sys
+from array import array
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,7 +44,6 @@ RULES = (
 LISTED = tuple(
     f"{name}.example.{end}" for name in ("adult-x", "casino-win", "cheap-pills", "spam-farm") for end in ("com", "net", "org")
 )
-MAX_LISTED = 200_000
 BITS_PER_KEY = 8
 HASHES = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -75,10 +76,10 @@ def keys_of(host: Column) -> Column:
 
 @dataclass(frozen=True)
 class Level:
-    """One Bloom filter: ``words`` holds ``64 * len(words)`` bits."""
+    """One Bloom filter: 32 bits for each four bytes, the highest bit of a word first."""
 
     number: int
-    words: tuple[int, ...]
+    bits: bytes
 
 
 def _places(key: Column, number: int, bits: int) -> Column:
@@ -88,25 +89,29 @@ def _places(key: Column, number: int, bits: int) -> Column:
 
 def holds(level: Level, key: Column) -> Column:
     """Whether a level's filter holds a key."""
-    words = F.lit(list(level.words)).cast("array<bigint>")
-    return F.forall(
-        _places(key, level.number, 64 * len(level.words)),
-        lambda b: F.getbit(F.get(words, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1,
-    )
+    words = F.lit(level.bits)
+
+    def is_set(b: Column) -> Column:
+        word = F.conv(F.hex(F.substring(words, F.shiftright(b, 5).cast("int") * 4 + 1, F.lit(4))), 16, 10).cast("long")
+        return F.getbit(word, b.bitwiseAND(F.lit(31).cast("long")).cast("int")) == 1
+
+    return F.forall(_places(key, level.number, 8 * len(level.bits)), is_set)
 
 
 def _build(keys: DataFrame, number: int, count: int) -> Level:
-    """The filter of the ``count`` distinct keys of ``keys``, from a bitwise aggregate; its words fit the driver by MAX_LISTED."""
-    n = -(-count * BITS_PER_KEY // 64)
-    place = keys.select(F.explode(_places(F.col("key"), number, 64 * n)).alias("b"))
+    """The filter of the ``count`` distinct keys of ``keys``, from a bitwise aggregate."""
+    n = -(-count * BITS_PER_KEY // 32)
+    place = keys.select(F.explode(_places(F.col("key"), number, 32 * n)).alias("b"))
     rows = (
-        place.groupBy(F.shiftright("b", 6).alias("w"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).collect()
+        place.groupBy(F.shiftright("b", 5).alias("w"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 31 as int))")).alias("bits")).collect()
     )
-    words = [0] * n
+    words = array("I", bytes(4 * n))
     for r in rows:
         words[r.w] = r.bits
-    return Level(number, tuple(words))
+    if sys.byteorder == "little":
+        words.byteswap()
+    return Level(number, words.tobytes())
 
 
 def universe(hosts: DataFrame) -> DataFrame:
@@ -137,24 +142,14 @@ def is_listed(levels: list[Level], key: Column) -> Column:
     return out
 
 
-def judge(
-    pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, key: str = "page_id", url: str = "url",
-    max_listed: int = MAX_LISTED,
-) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, key: str = "page_id", url: str = "url") -> DataFrame:
     """``key``, ``host``, ``path``, ``rule``, ``verdict`` and ``listed`` (what the list says) of every url.
 
-    ``listed`` has one column ``key``: hosts and domains to block, subdomains included. Its
-    distinct keys are counted first; more than ``max_listed`` are looked up by a semi-join of
-    the distinct hosts, which gives the same rows.
+    ``listed`` has one column ``key``: hosts and domains to block, subdomains included.
     """
     parts = pages.select(pages[key].alias("id"), host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
-    if listed.select("key").distinct().limit(max_listed + 1).count() > max_listed:
-        each = parts.select("host").distinct().select("host", F.explode(keys_of(F.col("host"))).alias("key"))
-        bad = each.join(listed, "key", "left_semi").select("host").distinct().withColumn("listed", F.lit(True))
-        told = parts.join(bad, "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    else:
-        levels = cascade(universe(parts), listed)
-        told = parts.withColumn("listed", F.exists(keys_of(F.col("host")), lambda k: is_listed(levels, k)))
+    levels = cascade(universe(parts), listed)
+    told = parts.withColumn("listed", F.exists(keys_of(F.col("host")), lambda k: is_listed(levels, k)))
     told = told.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce("fit.verdict", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
     return told.select(F.col("id").alias(key), "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "listed")
