@@ -4,20 +4,23 @@
 writes them as members of archives; ``load`` reads archive directories back. Both go through
 one Python data source:
 
-* Writing: every task writes archives of its own (ZIP, members stored as they are) and reports
-  their names; the driver's commit lists the archives of the tasks that succeeded in
-  ``_MANIFEST.json``. What lost or repeated attempts leave behind is in no manifest.
-* Planning: an archive is cut into byte ranges; a partition is one range and owns the members
-  whose headers begin in it, so a directory of few large archives still feeds many tasks, and
+* Writing: every task writes archives of its own (ZIP, members stored as they are) and an index
+  beside each (Arrow, a batch for about INDEX_BYTES of archive: key, length, offset, sizes and CRC
+  of its members); it reports their names and the byte ranges of the batches, and the driver's commit
+  lists those of the tasks that succeeded in ``_MANIFEST.json``. What lost or repeated attempts
+  leave behind is in no manifest.
+* Planning: an archive is cut into byte ranges along its index batches; a partition owns the members
+  whose headers begin in its range, so a directory of few large archives still feeds many tasks, and
   planning reads the manifest only.
-* Reading: a partition finds its members in the archive's directory, reads each by its own
+* Reading: a partition reads its own batches of the index, reads each member by its own
   offset, checks its CRC and streams them in Arrow batches of bounded size. A read that fails
-  is tried again for that member alone, on a fresh handle; a member that keeps failing becomes
+  is tried again for that member (or index) alone, on a fresh handle; a member that keeps failing becomes
   a row with an ``error`` and no media, and the rest of the archive is read on.
 
 Paths are URIs of any file system that pyarrow opens (local or mounted folders, HDFS, S3, GCS).
 
-A null text is an empty one; an empty payload is padded to 64 zero bytes. A null key stays null.
+A null text is an empty one; an empty payload is padded to 64 zero bytes. A null key stays null, and a
+key may be of any length.
 Repeated rows are separate members. An empty table gives an archive directory without members.
 Other columns are not stored.
 """
@@ -48,8 +51,8 @@ from posthorn.plans.scratch import new_path
 FORMAT = "media_archive"
 WIDTH = 64
 LEVEL = 1
-#: Bytes after which a task begins another archive, and bytes of a planned range.
-ARCHIVE_BYTES, SPLIT_BYTES = 256 << 20, 16 << 20
+#: Bytes after which a task begins another archive, bytes of a planned range, and of archive for each batch of its index.
+ARCHIVE_BYTES, SPLIT_BYTES, INDEX_BYTES = 256 << 20, 16 << 20, 4 << 20
 #: Bytes of media in a batch.
 BATCH_BYTES = 8 << 20
 TRIES, WAIT_S = 4, 0.1
@@ -59,6 +62,8 @@ _SCHEMA = "key string, n_bytes long, media binary, archive string, offset long,
 _ARROW = pa.schema(
     [("key", pa.string()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("archive", pa.string()), ("offset", pa.int64()), ("error", pa.string())]
 )
+#: A member in an archive's index. Keys may be of any length.
+_INDEX = pa.schema([("key", pa.string()), ("n_bytes", pa.int64()), ("header_offset", pa.int64()), ("file_size", pa.int64()), ("CRC", pa.int64()), ("filename", pa.string())])
 
 
 def pad(data: bytes) -> bytes:
@@ -112,39 +117,73 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+@dataclass
+class Member:
+    """A row of an index."""
+
+    key: str | None
+    n_bytes: int
+    header_offset: int
+    file_size: int
+    CRC: int
+    filename: str
+
+
+class _Archive:
+    """An archive that is being written, with its index."""
+
+    def __init__(self, fs: pafs.FileSystem, root: str, index_bytes: int) -> None:
+        self.fs, self.root, self.index_bytes = fs, root, index_bytes
+        self.name = f"part-{uuid.uuid4().hex}.zip"
+        self.stream = fs.open_output_stream(f"{root}/{self.name}")
+        self.zip = zipfile.ZipFile(self.stream, "w", zipfile.ZIP_STORED)
+        self.index_stream = fs.open_output_stream(f"{root}/{self.name}.index")
+        self.index = pa.ipc.new_file(self.index_stream, _INDEX)
+        self.rows: list[tuple] = []
+        self.ranges: list[int] = []  # where the members of each index batch begin
+
+    def add(self, key: str | None, n: int, media: bytes) -> None:
+        member = zipfile.ZipInfo(f"{len(self.zip.filelist):08d}.png")
+        self.zip.writestr(member, media)
+        self.rows.append((key, n, member.header_offset, member.file_size, member.CRC, member.filename))
+        if self.stream.tell() >= self.rows[0][2] + self.index_bytes:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.rows:
+            self.ranges.append(self.rows[0][2])
+            self.index.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*self.rows, strict=True), _INDEX.types, strict=True)], schema=_INDEX))
+            self.rows = []
+
+    def close(self) -> list:
+        """What the manifest says of this archive: name, size and where the members of each index batch begin."""
+        self.flush()
+        for x in (self.zip, self.stream, self.index, self.index_stream):
+            x.close()
+        return [self.name, self.fs.get_file_info(f"{self.root}/{self.name}").size, self.ranges]
+
+
 class _Writer(DataSourceArrowWriter):
     """Archives of ``key`` (string), ``n_bytes`` (long) and ``media`` (binary)."""
 
-    def __init__(self, uri: str, overwrite: bool, archive_bytes: int) -> None:
-        self.uri, self.overwrite, self.archive_bytes = uri, overwrite, archive_bytes
+    def __init__(self, uri: str, overwrite: bool, archive_bytes: int, index_bytes: int) -> None:
+        self.uri, self.overwrite, self.archive_bytes, self.index_bytes = uri, overwrite, archive_bytes, index_bytes
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         fs, root = _open(self.uri)
         fs.create_dir(root, recursive=True)
         done: list = []
-        stream = archive = name = None
-
-        def finish() -> None:
-            archive.close()
-            stream.close()
-            done.append([name, fs.get_file_info(f"{root}/{name}").size])
-
+        archive: _Archive | None = None
         for batch in iterator:
             columns = [batch.column(batch.schema.get_field_index(c)) for c in ("key", "n_bytes", "media")]
             for i in range(batch.num_rows):
-                if archive is None:
-                    name = f"part-{uuid.uuid4().hex}.zip"
-                    stream = fs.open_output_stream(f"{root}/{name}")
-                    archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED)
-                key, n, media = (c[i].as_py() for c in columns)
-                member = zipfile.ZipInfo(f"{len(archive.filelist):08d}.png")
-                member.comment = json.dumps([key, n]).encode()
-                archive.writestr(member, media)
-                if stream.tell() >= self.archive_bytes:
-                    finish()
+                archive = archive or _Archive(fs, root, self.index_bytes)
+                archive.add(*(c[i].as_py() for c in columns))
+                if archive.stream.tell() >= self.archive_bytes:
+                    done.append(archive.close())
                     archive = None
         if archive is not None:
-            finish()
+            done.append(archive.close())
         return _Written(done)
 
     def commit(self, messages: list) -> None:
@@ -159,20 +198,36 @@ class _Writer(DataSourceArrowWriter):
 
     def abort(self, messages: list) -> None:
         fs, root = _open(self.uri)
-        for name, _ in (a for m in messages if m for a in m.archives):
+        for name, *_ in (a for m in messages if m for a in m.archives):
             fs.delete_file(f"{root}/{name}")
+            fs.delete_file(f"{root}/{name}.index")
 
 
 @dataclass
 class ByteRange(InputPartition):
-    """The members of an archive whose headers begin at ``first`` or later and before ``last``."""
+    """The members of an archive whose headers begin at ``first`` or later and before ``last``: those of ``batches`` of its index."""
 
     name: str
     first: int
     last: int
+    batches: tuple[int, ...] = ()
+
+
+def read_index(fs: pafs.FileSystem, path: str, batches: tuple[int, ...], tries: int = TRIES, wait: float = WAIT_S) -> list[Member]:
+    """The members in some batches of an archive's index, in the order of the archive."""
+    for n in range(tries):
+        try:
+            with fs.open_input_file(f"{path}.index") as f:
+                index = pa.ipc.open_file(f)
+                return [Member(**x) for b in batches for x in index.get_batch(b).to_pylist()]
+        except Exception:  # whatever the store raises, it is tried again
+            if n + 1 == tries:
+                raise
+            time.sleep(wait * 2**n)
+    return []
 
 
-def read_member(handle, fs: pafs.FileSystem, path: str, member: zipfile.ZipInfo, tries: int = TRIES, wait: float = WAIT_S):
+def read_member(handle, fs: pafs.FileSystem, path: str, member: Member | zipfile.ZipInfo, tries: int = TRIES, wait: float = WAIT_S):
     """(handle, media, error) of one member, read by its offset; ``handle`` is the one to go on with."""
     error = ""
     for n in range(tries):
@@ -205,7 +260,14 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[ByteRange]:
         fs, root = _open(self.uri)
         archives = json.loads(fs.open_input_stream(f"{root}/{_MANIFEST}").readall())
-        ranges = [ByteRange(name, at, min(size, at + self.split_bytes)) for name, size in archives for at in range(0, size, self.split_bytes)]
+        ranges: list[ByteRange] = []
+        for name, size, starts in archives:
+            own: list[int] = []
+            for b, end in enumerate([*starts[1:], size]):
+                own.append(b)
+                if end - starts[own[0]] >= self.split_bytes or b + 1 == len(starts):
+                    ranges.append(ByteRange(name, starts[own[0]], end, tuple(own)))
+                    own = []
         return ranges or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
@@ -213,14 +275,13 @@ class _Reader(DataSourceReader):
             return
         fs, root = _open(self.uri)
         path = f"{root}/{partition.name}"
-        handle = fs.open_input_file(path)
-        members = [m for m in zipfile.ZipFile(handle).infolist() if partition.first <= m.header_offset < partition.last]
+        handle = None  # opened, and opened again, by the read of a member
+        members = read_index(fs, path, partition.batches)
         rows: list[tuple] = []
         held = 0
         for m in members:
             handle, media, error = read_member(handle, fs, path, m)
-            key, n = json.loads(m.comment)
-            rows.append((key, n, media, partition.name, m.header_offset, error))
+            rows.append((m.key, m.n_bytes, media, partition.name, m.header_offset, error))
             held += len(media or b"")
             if held >= self.batch_bytes:
                 yield _batch(rows)
@@ -236,7 +297,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 class MediaArchive(DataSource):
     """``spark.read.format("media_archive").load(uri)`` and ``df.write.format("media_archive").save(uri)``.
 
-    Options: ``archive_bytes`` (writing), ``split_bytes`` and ``batch_bytes`` (reading).
+    Options: ``archive_bytes`` and ``index_bytes`` (writing), ``split_bytes`` and ``batch_bytes`` (reading).
     """
 
     @classmethod
@@ -250,7 +311,7 @@ class MediaArchive(DataSource):
         return _Reader(self.options["path"], int(self.options.get("split_bytes", SPLIT_BYTES)), int(self.options.get("batch_bytes", BATCH_BYTES)))
 
     def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(self.options["path"], overwrite, int(self.options.get("archive_bytes", ARCHIVE_BYTES)))
+        return _Writer(self.options["path"], overwrite, *(int(self.options.get(k, v)) for k, v in (("archive_bytes", ARCHIVE_BYTES), ("index_bytes", INDEX_BYTES))))
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ def test_query_columns_match_a_plain_computation(spark):
 
 def test_small_ranges_and_archives_read_every_member_once(spark):
     uri = new_path(spark, "media-test")
-    media.store(frame(spark).coalesce(1), uri, archive_bytes=600)
+    media.store(frame(spark).coalesce(1), uri, archive_bytes=600, index_bytes=100)
     manifest = json.load(open(f"{uri.removeprefix('file://')}/_MANIFEST.json"))
     assert len(manifest) > 2
     found = media.load(spark, uri, split_bytes=100, batch_bytes=1)
@@ -49,6 +49,39 @@ def test_small_ranges_and_archives_read_every_member_once(spark):
     assert media.load(spark, uri).count() == 13
 
 
+def test_ranges_follow_the_index(spark):
+    uri = new_path(spark, "media-test")
+    media.store(frame(spark).coalesce(1), uri, index_bytes=300)
+    (name, size, starts), = json.load(open(f"{uri.removeprefix('file://')}/_MANIFEST.json"))
+    zipped = zipfile.ZipFile(f"{uri.removeprefix('file://')}/{name}").infolist()
+    assert len(starts) > 3 and set(starts) <= {m.header_offset for m in zipped}
+    for split in (1, 500, 10**9):
+        parts = media._Reader(uri, split, 1 << 20).partitions()
+        assert [p.first for p in parts][1:] == [p.last for p in parts][:-1] and parts[0].first == 0 and parts[-1].last == size
+        found = [r for p in parts for r in media._Reader(uri, split, 1 << 20).read(p)]
+        assert [x for r in found for x in r.column(4).to_pylist()] == [m.header_offset for m in zipped]
+    assert len(media._Reader(uri, 1, 1).partitions()) == len(starts) and len(parts) == 1
+
+
+def test_keys_of_any_length(spark):
+    keys = ["k" * 100_000, "é" * 70_000, "", None]
+    df = spark.createDataFrame([(k, "text") for k in keys], "doc_id string, text string")
+    assert sorted(r.doc_id or "" for r in media.text_media(df).collect()) == sorted(k or "" for k in keys)
+
+
+def test_a_failing_index_is_tried_again(tmp_path, monkeypatch):
+    calls = []
+
+    class Flaky(pafs.LocalFileSystem):
+        def open_input_file(self, path):
+            calls.append(path)
+            raise OSError("gone")
+
+    with pytest.raises(OSError, match="gone"):
+        media.read_index(Flaky(), str(tmp_path / "a.zip"), (0,), tries=3, wait=0)
+    assert len(calls) == 3
+
+
 def test_orphans_of_lost_attempts_are_not_read(spark):
     uri = new_path(spark, "media-test")
     media.store(frame(spark), uri)
