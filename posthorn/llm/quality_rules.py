@@ -1,8 +1,10 @@
 """Quality rules as a bitmask ledger.
 
 Every rule is evaluated once per document. The ledger keeps the measurements and one long in
-which bit *i* says that rule *i* failed, so a policy is a mask: comparing policy versions or asking what a single rule costs reads the ledger and never the
-texts again.
+which bit *i* says that rule *i* failed, so a policy is a mask: comparing policy versions or
+asking what a single rule costs reads the ledger and never the texts again. Filtering writes the
+ledger beside the rows and keeps those whose bits are clear under the policy's mask; the written
+ledger serves other policies and ablations.
 
 Words are maximal runs without the bytes 0x20 and 0x09-0x0D. A null text measures as an empty
 one; empty texts have no words and fail ``few_words``. Repeated rows are separate rows. An
@@ -21,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posthorn.llm.arrow import slices, utf8
+from posthorn.llm.rows import numbered
+from posthorn.plans.scratch import materialise
 
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters",
@@ -115,6 +119,15 @@ def policy_mask(policy: str | tuple[str, ...]) -> int:
     return sum(1 << place[x] for x in names)
 
 
+def fail_bits() -> Column:
+    """The bits of all rules that fail, from the measurements."""
+    bits = [F.when(F.expr(r.fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, r in enumerate(RULES)]
+    total = bits[0]
+    for b in bits[1:]:
+        total = total.bitwiseOR(b)
+    return total
+
+
 def ledger(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keys``, the measurements and ``fail_bits``, one row for each row of ``docs``.
 
@@ -123,11 +136,7 @@ def ledger(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id
     picked = docs.select(*(docs[k].alias(f"k{i}") for i, k in enumerate(keys)), docs[text].cast("string").alias("text"))
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]] + [f"{m} long" for m in MEASURES])
     measured = picked.mapInArrow(_measure, schema)
-    bits = [F.when(F.expr(r.fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, r in enumerate(RULES)]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total.bitwiseOR(b)
-    return measured.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), *MEASURES, total.alias("fail_bits"))
+    return measured.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), *MEASURES, fail_bits().alias("fail_bits"))
 
 
 def passes(policy: str | tuple[str, ...], bits: Column | str = "fail_bits") -> Column:
@@ -156,17 +165,14 @@ def ablations(ledger: DataFrame, policy: str | tuple[str, ...] = CURRENT) -> Dat
     )
 
 
-def filter_documents(docs: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``policy`` keeps, with the columns of ``docs``.
+def ledgered(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with columns c0, c1, ..., their measurements and ``fail_bits``, written once.
 
-    The rules run beside the row, so that no join is needed: the texts pass through one
-    ``mapInArrow`` and are never shuffled.
+    Rows and ledger are one table: no join is needed to filter, and a reader of bits or
+    measurements reads these columns only. The texts pass through one ``mapInArrow`` and are never shuffled.
     """
-    mask = policy_mask(policy)
+    plain, names = numbered(docs)
     at = docs.columns.index(text)
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names)
-    fails = " OR ".join(f"({r.fails})" for i, r in enumerate(RULES) if mask >> i & 1)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -177,4 +183,10 @@ def filter_documents(docs: DataFrame, policy: str = CURRENT, text: str = "text")
             )
 
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields] + [f"{m} long" for m in MEASURES])
-    return plain.mapInArrow(add, schema).where(~F.expr(fails)).select(*names).toDF(*docs.columns)
+    return materialise(plain.mapInArrow(add, schema).select(*names, *MEASURES, fail_bits().alias("fail_bits")), "quality-ledger")
+
+
+def filter_documents(docs: DataFrame, policy: str | tuple[str, ...] = CURRENT, text: str = "text", ledger: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``policy`` keeps, with the columns of ``docs``; ``ledger`` is what ``ledgered`` wrote of them."""
+    rows = ledgered(docs, text) if ledger is None else ledger
+    return rows.where(passes(policy)).select(*rows.columns[: len(docs.columns)]).toDF(*docs.columns)

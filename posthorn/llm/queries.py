@@ -30,6 +30,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each rule of the current policy: documents that fail it, and those that it alone rejects, from the ledger's bits."""
+    return quality_rules.ablations(quality_rules.ledger(_table(spark, sf_dir, "documents")))
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced by pseudonyms, and how many of each kind."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -90,11 +95,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_html_text": op9_html_text,
     "op10_quality_rules": op10_quality_rules,
+    "quality_ablations": quality_ablations,
 }
 
 ORACLE: dict[str, str] = {}
 
-ORACLE["op10_quality_rules"] = r"""
+_BITS = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t FROM documents
 ), w AS (
@@ -132,11 +138,20 @@ WITH d AS (
     + CASE WHEN n_letters >= 100 AND 100 * n_upper > 60 * n_letters THEN 32 ELSE 0 END AS bits
   FROM m
 )
+"""
+
+ORACLE["op10_quality_rules"] = _BITS + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, bits = 0 AS kept, CAST(bits AS BIGINT) AS fail_bits
 FROM b
 """
 
+ORACLE["quality_ablations"] = _BITS + """
+SELECT rule, CAST(count(*) FILTER (bits & bit <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (bits = bit) AS BIGINT) AS n_only
+FROM b, (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8), ('long_words', 16), ('shouting', 32)) r(rule, bit)
+GROUP BY rule
+"""
+
 ORACLE["op6_url_filter"] = f"""
 WITH u AS (
   SELECT page_id,
