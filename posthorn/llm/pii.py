@@ -294,7 +294,9 @@ def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, text: str = "text", count
     t = F.col(f"c{docs.columns.index(text)}")
     plain = docs.toDF(*names)
     secret = F.lit(key)
-    found = F.when(t.rlike(ANY), F.transform(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda m: replacements(m, secret)))
+    # A text without a digit or an @ holds nothing; one without a match is scanned once, the others are scanned once more to be split.
+    hits = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
+    found = _let(hits, lambda h: F.when(F.size(h) > 0, F.transform(h, lambda m: replacements(m, secret))))
     marked = plain.withColumn("__f", found)
     gaps = F.split(t, ANY, -1)
     whole = F.array_join(F.zip_with(gaps, F.col("__f"), lambda g, m: F.concat(g, F.coalesce(F.array_join(m["text"], ""), F.lit("")))), "")
