@@ -9,7 +9,9 @@ differ in at most RADIUS bits agree on at least one whole band, so only fingerpr
 equal band value can be linked. What shares a band value is ordered by population count, cut
 into tiles, and tile pairs are compared by numpy exclusive-or and bit counts; a tile pair whose
 population counts differ by more than the radius is skipped. A band value with more
-fingerprints than ``BLOCK`` is split into blocks, and each pair of blocks is a task of its own,
+fingerprints than ``BLOCK`` is banded again by its other bits, of which close fingerprints agree
+on a band as well; so the work stays near the number of fingerprints. What still has more than
+``BLOCK`` then is split into blocks, and each pair of blocks is a task of its own,
 so no group has to fit in one task. A task returns a spanning forest of what it has linked (at
 most one row for each fingerprint), never pairs.
 
@@ -29,12 +31,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posthorn.llm.arrow import slices, utf8
 from posthorn.llm.rows import numbered, row_id
-from posthorn.operators.components import connected_components
+from posthorn.operators.components import connected_components, join_by_key
 from posthorn.plans.scratch import materialise
 
 RADIUS = 4
@@ -149,15 +151,15 @@ def link_block(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS,
     return values[child], values[root[child]]
 
 
-def _compare(radius: int, tile: int):
-    """Links within each (band, value, i, j) group of a partition that is sorted by these."""
+def _compare(radius: int, tile: int, n_keys: int):
+    """Links within each group of a partition that is sorted by its first ``n_keys`` columns, the last two of which are blocks i and j."""
 
     def group(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-        fp = np.concatenate([r.column(4).to_numpy(zero_copy_only=False) for r in rows]).astype(np.int64).view(np.uint64)
-        i, j = rows[0].column(2)[0].as_py(), rows[0].column(3)[0].as_py()
+        fp = np.concatenate([r.column(n_keys).to_numpy(zero_copy_only=False) for r in rows]).astype(np.int64).view(np.uint64)
+        i, j = (rows[0].column(n_keys - k)[0].as_py() for k in (2, 1))
         if i == j:
             return link_block(fp, None, radius, tile)
-        own = np.concatenate([r.column(5).to_numpy(zero_copy_only=False) for r in rows])
+        own = np.concatenate([r.column(n_keys + 1).to_numpy(zero_copy_only=False) for r in rows])
         return link_block(fp[own == i], fp[own == j], radius, tile)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +168,7 @@ def _compare(radius: int, tile: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)])
+            k = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(n_keys)])
             starts = np.concatenate(([0], np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1, [batch.num_rows]))
             child, root = [], []
             for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False):
@@ -191,42 +193,53 @@ def _compare(radius: int, tile: int):
     return run
 
 
+def _banded(fp: Column, radius: int) -> Column:
+    """Each band with its value and the other bits, moved together: array<struct<band, value, rest>>."""
+    out = []
+    for n, (at, bits) in enumerate(_bands(radius)):
+        low = fp.bitwiseAND(F.lit((1 << at) - 1).cast("long"))
+        rest = low if at + bits == 64 else low.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, at + bits), at))
+        value = F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+        out.append(F.struct(F.lit(n).cast("long").alias("band"), value.alias("value"), rest.alias("rest")))
+    return F.array(*out)
+
+
+def _banded_again(rest: Column, radius: int) -> Column:
+    """Each band of the other bits as one long that tells it apart: its value and number."""
+    out = []
+    bits = 64 - min(b for _, b in _bands(radius))
+    for n in range(radius + 1):
+        at, end = bits * n // (radius + 1), bits * (n + 1) // (radius + 1)
+        out.append(F.shiftrightunsigned(rest, at).bitwiseAND(F.lit((1 << (end - at)) - 1).cast("long")) * (radius + 1) + n)
+    return F.array(*out)
+
+
 def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """A spanning forest (``src``, ``dst``) of all links among the distinct longs of ``fps``.
 
-    Rows are first counted by band value with partial aggregation. Only band values with more
-    than ``block`` fingerprints are split; there are at most rows / block of them, and their
-    table is joined back by its key.
+    Rows are first counted by band value with partial aggregation. There are less than 41,000 band
+    values for a radius of 4, whatever the corpus, so their counts are broadcast.
     """
-    fp = F.col("fp")
-    each = fps.select(
-        "fp",
-        F.explode(
-            F.array(
-                *(
-                    F.struct(
-                        F.lit(n).cast("long").alias("band"),
-                        F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("value"),
-                    )
-                    for n, (at, bits) in enumerate(_bands(radius))
-                )
-            )
-        ).alias("b"),
-    ).select("fp", "b.band", "b.value")
-    counted = each.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = each.join(counted, ["band", "value"]).withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("long"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    dealt = dealt.withColumn("own", own).select(
-        "band", "value", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"), "own", "fp"
-    )
-    keyed = dealt.select(
-        "band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "own"
+    first = fps.select("fp", F.explode(_banded(F.col("fp"), radius)).alias("b")).select("fp", "b.*")
+    counts = first.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    counts = materialise(counts, "simhash-bands")
+    counted = first.join(F.broadcast(counts), ["band", "value"])
+    none = F.lit(-1).cast("long")
+    small = counted.where(F.col("n") <= block).select("band", "value", none.alias("sub"), "fp", F.lit(1).cast("long").alias("blocks"))
+    keys, shared = ["band", "value", "sub"], small
+    if (counts.agg(F.max("n")).first()[0] or 0) > block:
+        large = counted.where(F.col("n") > block).select("band", "value", F.explode(_banded_again(F.col("rest"), radius)).alias("sub"), "fp")
+        again = large.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+        shared = small.unionByName(join_by_key(large, again, keys, "n").withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("long")).drop("n"))
+    dealt = shared.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks"))).select(
+        *keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"), "own", "fp"
     )
-    keys = ["band", "value", "i", "j"]
+    keyed = dealt.select(*keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "own")
+    keys += ["i", "j"]
     return (
         keyed.repartition(*keys)
         .sortWithinPartitions(*keys)
-        .mapInArrow(_compare(radius, tile), "src long, dst long")
+        .mapInArrow(_compare(radius, tile, len(keys)), "src long, dst long")
     )
 
 
@@ -242,15 +255,15 @@ def groups(fp: DataFrame, radius: int = RADIUS) -> DataFrame:
 def components(fp: DataFrame, radius: int = RADIUS, key: str = "doc_id") -> DataFrame:
     """The rows of ``fp`` (``key``, ``fp``) with ``component_id``, the smallest key of the component.
 
-    Documents are reduced to one row for each fingerprint before anything is joined; the last
-    join is by fingerprint, and adaptive execution splits a fingerprint that many documents have.
+    Documents are reduced to one row for each fingerprint before anything is joined. Components of
+    many fingerprints and fingerprints of many documents are joined by a broadcast of these few keys, so none is one task.
     """
     by_fp = groups(fp, radius)
-    smallest = fp.groupBy("fp").agg(F.min(key).alias("least"))
-    ids = by_fp.join(smallest, "fp").select("fp", "root", "least")
-    per_root = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = ids.join(per_root, "root").select("fp", "component_id")
-    return fp.join(named, "fp")
+    smallest = fp.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("docs"))
+    ids = materialise(by_fp.join(smallest, "fp").select("fp", "root", "least", "docs"), "simhash-ids")
+    per_root = ids.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = join_by_key(ids, per_root, ["root"], "n").select("fp", "component_id", "docs")
+    return join_by_key(fp, named, ["fp"], "docs").drop("docs")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", key: str = "doc_id") -> DataFrame:
