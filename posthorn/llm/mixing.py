@@ -248,7 +248,7 @@ def mixed_documents(
     ident = row_id(docs, key)
     plan = mix(measured(docs, key, text, source, ident), **options)
     plan = materialise(plan.select(F.col("mark").alias("__id"), F.explode("slots").alias("__slot")), "mix-plan")
-    plain, names = numbered(docs.withColumn("__id", ident))
+    plain, names = numbered(docs, ident)
     last = names.pop()
     # Rows that are equal in every column are one row with the slots of all of them.
     once = plain.dropDuplicates([last])

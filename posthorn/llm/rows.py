@@ -32,7 +32,7 @@ def row_id(docs: DataFrame, key: str) -> Column:
     return F.concat_ws("#", fingerprint(docs), own)
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """``docs`` with columns c0, c1, ... whatever they are called, and these names."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    return docs.toDF(*names), names
+def numbered(docs: DataFrame, *more: Column) -> tuple[DataFrame, list[str]]:
+    """``docs`` and ``more`` columns over it as c0, c1, ..., whatever the columns are called, and these names."""
+    names = [f"c{i}" for i in range(len(docs.columns) + len(more))]
+    return docs.select("*", *more).toDF(*names), names

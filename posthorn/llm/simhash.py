@@ -288,6 +288,6 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, text: str = "text", key: str
     by_fp = groups(slim, radius)
     least = slim.groupBy("fp").agg(F.min(F.struct(F.col("k").isNull(), "k", "id")).alias("least"))
     kept = by_fp.join(least, "fp").groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("__id"))
-    plain, names = numbered(docs.withColumn("__id", ident))
+    plain, names = numbered(docs, ident)
     last = names.pop()
     return plain.join(kept, plain[last] == kept["__id"], "left_semi").dropDuplicates([last]).select(*names).toDF(*docs.columns)

@@ -69,6 +69,8 @@ def test_every_stage_against_brute_force(spark):
     assert math.isclose(sum(size(t[1]) * n for t, n in copies.items()), 1.5 * total, rel_tol=0.2)
     want = mixing.mix(mixing.measured(clean)).collect()
     assert {r.key: r.copies for r in want if r.copies} == {t[0]: n for t, n in copies.items()}
+    order = [r.doc_id for r in corpus_pipeline.STAGES[3][1](spark, clean, SF).collect()]
+    assert order == [d for _, d in sorted((t, r.key) for r in want for t in r.slots)]
 
     last = corpus_pipeline.STAGES[4][1](spark, mixed, SF)
     library = sentencepiece.SentencePieceProcessor(model_file=model_file())
@@ -79,3 +81,38 @@ def test_every_stage_against_brute_force(spark):
         wanted += [repr((t[0], t[3], len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids)), ids))] * n
     assert sorted(repr(tuple(r)) for r in last.collect()) == sorted(wanted)
     assert sorted(repr(tuple(r)) for r in corpus_pipeline.run(spark, SF).collect()) == sorted(wanted)
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    words = [" ".join(f"w{i}x{j}" for j in range(70)) for i in range(6)]
+    long = " ".join(f"v{j}" for j in range(60_000))
+    schema = "doc_id long, text string, source string, fail_bits map<string,string>, `key` string, __id int, n_words array<string>"
+    rows = [
+        (1, words[0], "a", {"k": None}, None, 1, ["x", None]),
+        (1, words[0], "a", {"k": None}, None, 1, ["x", None]),  # a repeated row
+        (1, words[1], None, None, "x", None, None),  # the same id, another text
+        (None, words[2], "a", None, None, None, [None, "x"]),
+        (3, words[3], "b", {}, "y", 2, []),
+        (4, words[3], "b", {}, "y", 2, []),  # a tie but for its id
+        (5, None, "a", None, None, None, None), (6, "", "b", None, None, None, None), (7, "few words", None, None, None, None, None),
+        (8, long, "a", None, None, 1, None), (9, words[4] + " token = abcdefghijklmnop", "c", None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    docs = df
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        out = stage(spark, docs, SF)
+        assert out.dtypes == df.dtypes
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        texts = {r.text for r in docs.collect()}
+        assert {words[0], words[1], words[2], words[3], long} <= texts or n == 3
+        if n == 1:
+            assert sorted((r.doc_id or 0, r.text[:3]) for r in docs.collect()) == [(0, "w2x"), (1, "w0x"), (1, "w1x"), (3, "w3x"), (8, "v0 "), (9, "w4x")]
+        if n == 2:
+            assert words[4] + " token = [SECRET]" in texts
+    sf = str(tmp_path)
+    df.write.parquet(f"{sf}/documents.parquet")
+    got = corpus_pipeline.run(spark, sf)
+    assert got.count() == docs.count() and got.where("n_tokens > 60000").count() > 0
+    empty = str(tmp_path / "empty")
+    df.limit(0).write.parquet(f"{empty}/documents.parquet")
+    assert corpus_pipeline.run(spark, empty).collect() == []
