@@ -128,14 +128,15 @@ def _points(first: int, last: int) -> np.ndarray:
     return (t >> np.uint64(11)) * 2.0**-53
 
 
-def slots(sources: DataFrame, number: int, total: float, few: bool) -> DataFrame:
-    """``sid``, ``blocks``, ``slot`` and ``rank`` (among its source's slots) of the slots 0 to ``number`` - 1.
+def slots(sources: DataFrame, number: int, total: float, few: bool) -> tuple[DataFrame, DataFrame]:
+    """The slots 0 to ``number`` - 1 and their number by source.
 
-    ``sources`` has ``sid``, ``target`` and ``blocks``; ``total`` is the sum of the targets.
+    The first table has ``sid``, ``blocks``, ``slot`` and ``rank`` (among its source's slots), the second ``sid`` and
+    ``given``. ``sources`` has ``sid``, ``target`` and ``blocks``; ``total`` is the sum of the targets.
     """
     spark = sources.sparkSession
     if not number:
-        return spark.createDataFrame([], "sid long, blocks long, slot long, rank long")
+        return spark.createDataFrame([], "sid long, blocks long, slot long, rank long"), spark.createDataFrame([], "sid long, given long")
     real = sources.where("target > 0").select("sid", "target", "blocks")
     chunks = spark.range(0, math.ceil(number / CHUNK), 1, min(4096, math.ceil(number / CHUNK)))
     size = CHUNK
@@ -187,10 +188,12 @@ def slots(sources: DataFrame, number: int, total: float, few: bool) -> DataFrame
             .withColumn("r", F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1)
         )
         per_chunk = drawn.groupBy("sid", "chunk").agg(F.count("*").alias("n"))
+    per_chunk = materialise(per_chunk, "mix-chunks")
     before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_chunk.select("sid", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     # Both sides grow with the corpus, and slots compress so well that their size would let them be broadcast.
-    return drawn.join(offsets.hint("merge"), ["sid", "chunk"]).select("sid", "blocks", "slot", (F.col("r") + F.col("offset")).alias("rank"))
+    ranked = drawn.join(offsets.hint("merge"), ["sid", "chunk"]).select("sid", "blocks", "slot", (F.col("r") + F.col("offset")).alias("rank"))
+    return ranked, per_chunk.groupBy("sid").agg(F.sum("n").alias("given"))
 
 
 def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", mark: Column | None = None) -> DataFrame:
@@ -218,21 +221,24 @@ def mix(
     sources = found.select("src", "sid", "source_size", "target", blocks.alias("blocks"), buckets.alias("buckets"))
     every = found.agg(F.count("*").alias("n"), F.sum("target").alias("total")).first()
     few, total = every.n <= edges, every.total or 0.0
-    taken = (
-        slots(sources, math.ceil(total / block), total, few).where(F.col("rank") < F.floor(F.col("blocks") * F.lit(float(most))))
-        .groupBy("sid", F.pmod("rank", "blocks").alias("block")).agg(F.array_sort(F.collect_list("slot")).alias("at"))  # one for each round
+    ranked, given = slots(sources, math.ceil(total / block), total, few)
+    most_ranks = F.floor(F.col("blocks") * F.lit(float(most)))
+    at = (
+        ranked.where(F.col("rank") < most_ranks).groupBy("sid", F.pmod("rank", "blocks").alias("block"))
+        .agg(F.array_sort(F.collect_list("slot")).alias("slots"))  # one for each round
     )
-    laid = lay_out(sized, sources.drop("blocks"), few, seed)
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    pieces = laid.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
-    own = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
+    # Ranks have no gaps: a source's blocks are all taken ``rounds`` times, and those of its first ``more`` words once again.
+    n = F.least(F.coalesce("given", F.lit(0)), most_ranks)
+    rounds = F.when(F.col("blocks") > 0, F.floor(n / F.col("blocks"))).otherwise(0)
+    table = sources.join(given, "sid", "left").withColumn("rounds", rounds).withColumn("more", (n - F.col("rounds") * F.col("blocks")) * block)
+    laid = lay_out(sized, materialise(table.drop("blocks", "given"), "mix-rounds"), few, seed)
+    again = F.greatest(F.lit(0), F.least("size", F.col("more") - F.col("start")))
+    # The block where a document begins; documents without words meet none, and are dealt evenly.
+    first = F.when(F.col("size") > 0, F.floor(F.col("start") / block)).otherwise(-1 - F.pmod("row", F.lit(4096)))
     return (
-        pieces.join(taken.hint("merge"), ["sid", "block"], "left")
-        .groupBy("row", "key", "mark", "source", "size", "source_size", "target")
-        .agg(
-            F.coalesce(F.sum(F.when(F.col("at").isNotNull(), own * F.size("at"))), F.lit(0)).cast("long").alias("taken"),
-            F.coalesce(F.max(F.when(F.col("block") == first, F.col("at"))), F.array().cast("array<bigint>")).alias("slots"),
-        )
+        laid.withColumn("taken", (F.col("rounds") * F.col("size") + again).cast("long")).withColumn("block", first)
+        .join(at.hint("merge"), ["sid", "block"], "left")
+        .select("row", "key", "mark", "source", "size", "source_size", "target", "taken", F.coalesce("slots", F.array().cast("array<bigint>")).alias("slots"))
         .withColumn("copies", F.size("slots").cast("long"))
     )
 
