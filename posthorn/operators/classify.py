@@ -5,29 +5,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from posthorn.operators.knowledge import domain_of, sender_profile
+from posthorn.operators.matching import FREE_DOMAINS
+
 CLASSES = ("client", "spam", "vendor")
 
 
-def rule_hits(docs: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
-    """(doc, rule) for every rule whose pattern fits.
+#: Rules that a packed table may have; it is configuration, written by hand.
+MAX_RULES = 10_000
+
+
+def rule_hits(docs: DataFrame, rules: DataFrame, text: str = "text", scopes: dict[str, Column] | None = None) -> DataFrame:
+    """``docs`` with ``hits``, the rules whose pattern fits.
 
-    The rule table is small and bounded by configuration (its rows are counted by the caller who
-    broadcasts it); each document row is tested against an array of rules, so documents are
-    neither joined nor shuffled.
+    Rules are counted before they are collected; each document row is tested against an array of
+    them, so documents are neither joined nor shuffled. ``scopes`` names texts that a rule's ``scope``
+    may ask for; other scopes, and rules without one, look into ``text``.
     """
-    packed = rules.agg(F.collect_list(F.struct("rule_id", "classifier", "match_type", "pattern", "weight")).alias("r")).first()["r"]
-    table = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in r.asDict().items())) for r in packed)) if packed else None
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    names = ["rule_id", "classifier", "match_type", "pattern", "weight"] + ["scope"] * (scopes is not None)
+    packed = rules.select(*names).limit(MAX_RULES + 1).collect()
+    if len(packed) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    kind = f"array<struct<rule_id:int,classifier:string,match_type:string,pattern:string,weight:int{',scope:string' * (scopes is not None)}>>"
+    if not packed:
+        return docs.withColumn("hits", F.array().cast(kind))
+    table = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in r.asDict().items())) for r in packed)).cast(kind)
 
     def fits(r: Column) -> Column:
-        by_kind = F.when(r["match_type"] == "exact", low == r["pattern"]).when(r["match_type"] == "regex", F.regexp_like(low, r["pattern"]))
-        return by_kind.otherwise(F.contains(low, r["pattern"]))
+        hay = low(F.col(text))
+        for name, c in (scopes or {}).items():
+            hay = F.when(r["scope"] == name, low(c)).otherwise(hay)
+        by_kind = F.when(r["match_type"] == "exact", hay == r["pattern"]).when(r["match_type"] == "regex", F.regexp_like(hay, r["pattern"]))
+        return by_kind.otherwise(F.contains(hay, r["pattern"]))
 
-    if table is None:
-        return docs.withColumn("hits", F.array().cast("array<struct<rule_id:int,classifier:string,match_type:string,pattern:string,weight:int>>"))
     return docs.withColumn("hits", F.filter(table, fits))
 
 
+#: Weight of a known sender, and of a domain that is not a free one.
+SENDER_WEIGHT, DOMAIN_WEIGHT = 20, 1
+
+
+def classify_mails(mails: DataFrame, rules: DataFrame, profiles: DataFrame) -> DataFrame:
+    """K1-K3: ``mails`` (id, subject, body, attachments, email) with scores, ``label`` and ``confidence``.
+
+    Rules look into the subject, the body, the attachments' names, the sender's domain or all of it; a sender's
+    profile adds SENDER_WEIGHT to its class, and a domain that is not free DOMAIN_WEIGHT to clients.
+    """
+    host = domain_of(F.col("email"))
+    scopes = {"subject": F.col("subject"), "body": F.col("body"), "attachment": F.col("attachments"), "domain": host}
+    known = sender_profile(mails.select("id", "email"), profiles).select("id", "classification")
+    told = mails.join(known, "id", "left").withColumn("all_text", F.concat_ws("\n", "subject", "body", "attachments", "email"))
+    own = F.when((F.coalesce("email", F.lit("")) != "") & ~host.isin(*FREE_DOMAINS), DOMAIN_WEIGHT).otherwise(0)
+    hits = rule_hits(told, rules, "all_text", scopes)
+    scores = {n: s + F.when(F.col("classification") == n, SENDER_WEIGHT).otherwise(0) + (own if n == "client" else 0) for n, s in class_scores(F.col("hits")).items()}
+    found = hits.select("id", *(s.alias(n) for n, s in scores.items()))
+    label, confidence = decide({n: F.col(n) for n in CLASSES})
+    return found.withColumns({"label": label, "confidence": confidence})
+
+
+def agreement(label: Column, confidence: Column, ai_label: Column, ai_confidence: Column, threshold: float, other: str, kept: str) -> Column:
+    """K5, K7: struct<label, confidence, source> from the rules' answer and a model's.
+
+    The rules decide from ``threshold`` on, or if the model says nothing (``rules``); if both agree, their mean and
+    0.15 count, 0.99 at most (``hybrid``); a model that is more than 0.1 surer decides (``other``); else the rules stay (``kept``).
+    """
+    says = lambda l, c, s: F.struct(l.alias("label"), c.cast("double").alias("confidence"), F.lit(s).alias("source"))
+    both = F.least(F.lit(0.99), (confidence + ai_confidence) / 2 + 0.15)
+    return (
+        F.when((confidence >= threshold) | ai_label.isNull(), says(label, confidence, "rules")).when(label == ai_label, says(label, both, "hybrid"))
+        .when(ai_confidence > confidence + 0.1, says(ai_label, ai_confidence, other)).otherwise(says(label, confidence, kept))
+    )
+
+
 def class_scores(hits: Column) -> dict[str, Column]:
     """K1: the sum of weights for each class."""
     return {c: F.aggregate(hits, F.lit(0), _adder(c)) for c in CLASSES}
@@ -70,9 +120,10 @@ REQUEST_PATTERNS: dict[str, tuple[str, ...]] = {
         r"^\W*запрос(?:\s|$)",
         r"(?:^|\W)заявка(?:\s+на|\s+от|\s+№|\s*$|\s+для)",
         r"(?:^|\W)просим\s+(?:выставить|предоставить|рассчитать|просчитать|сообщить|уточнить)",
-        r"(?:^|\W)(?:прошу|просьба)\s+(?:выставить|предоставить|рассчитать|просчитать|рассмотреть|сообщить|уточнить)",
+        r"(?:^|\W)(?:прошу|просьба)\s+(?:выставить|предоставить|рассчитать|просчитать|рассмотреть|сообщить|уточнить|помочь)",
         r"(?:^|\W)расч[её]т(?:\s+стоимост|\s+цен|\s+на)",
         r"(?:^|\W)коммерческ(?:ое|ого)\s+предложен",
+        r"(?:^|\W)(?-i:КП)(?:\s|$|[,.:;-])",
         r"(?:^|\W)прайс[-\s]?лист",
         r"(?:^|\W)(?:счёт|счет)\s+на(?:\s|$)",
         r"(?:^|\W)цена(?:\s+на|\s+за)",
@@ -82,11 +133,12 @@ REQUEST_PATTERNS: dict[str, tuple[str, ...]] = {
         r"(?<![A-Za-z0-9_])price\s+(?:request|quote|inquiry|list)",
         r"(?<![A-Za-z0-9_])request\s+for\s+quot(?:e|ation)",
         r"(?<![A-Za-z0-9_])quotation(?![A-Za-z0-9_])",
-        r"(?<![A-Za-z0-9_])rfq(?![A-Za-z0-9_])",
+        r"(?<![A-Za-z0-9_])(?-i:RFQ)(?![A-Za-z0-9_])",
     ),
     "order": (
         r"(?:^|\W)(?:подтверждаем|подтверждение)\s+заказ",
-        r"(?:^|\W)(?:наш|новый)\s+заказ(?:\s|$|[,.:;№])",
+        r"(?:^|\W)наш\s+заказ(?:\s|$|[,.:;№])",
+        r"(?:^|\W)новый\s+заказ(?:\s|$|[,.:;№])",
         r"(?:^|\W)заказ(?:ываем|ать)\s+(?:следующ|товар)",
         r"(?<![A-Za-z0-9_])purchase\s+order(?![A-Za-z0-9_])",
         r"(?:^|\W)счёт\s+на\s+оплату\s*№",
@@ -140,14 +192,55 @@ def urgency_of(text: Column) -> Column:
     return ordered_case(F.coalesce(text, F.lit("")), _families(URGENCY_PATTERNS), "normal")
 
 
+#: Subjects and heads of bodies of automatic mail, senders, and the fields of a form. A word boundary before
+#: Cyrillic is none in the source's dialect and is written as a lookbehind here. Fixed values.
+AUTO_SUBJECTS = (
+    r"^(?:Re:\s*)?(?:Auto(?:matic)?\s*(?:reply|response)|Автоответ|Автоматический ответ)",
+    r"^(?:Out of (?:the )?office|Вне офиса|Отсутств|I.m away|I am away)",
+    r"(?<![\p{L}\d_])ваш[аеи]?\s+(?:заявк[аеи]|обращени[ея]|запрос|письмо|сообщени[ея])\s+(?:принят|зарегистриров|получен|обработ)",
+    r"(?<![\p{L}\d_])(?:заявк[аеи]|обращени[ея]|тикет|ticket|request|case)\s*(?:#|№|номер)?\s*\d+",
+    r"(?<![\p{L}\d_])(?:создан[оа]?\s+(?:заявк|обращени|тикет)|(?:ticket|case|request)\s+(?:created|opened|received)(?![\p{L}\d_]))",
+    r"^\[?(?:auto|noreply|no-reply|system|notification|уведомление)",
+    r"(?<![\p{L}\d_])do\s*not\s*reply(?![\p{L}\d_])|(?<![\p{L}\d_])не\s*отвечайте(?![\p{L}\d_])",
+    r"(?<![\p{L}\d_])(?:delivery|read)\s*(?:notification|receipt)(?![\p{L}\d_])",
+    r"(?<![\p{L}\d_])уведомлени[ея]\s+о\s+(?:доставке|прочтении|получении)(?![\p{L}\d_])",
+    r"(?<![\p{L}\d_])(?:на\s+отпуске|на\s+больничном|не\s+работаю|временно\s+не\s+доступ)",
+    r"(?<![\p{L}\d_])(?:vacation|holiday)\s*(?:auto|reply|notice)",
+    r"^(?:уведомление|notification|alert)\s*(?:о|от|:)",
+    r"^(?:ваш[аеи]?\s+)?(?:заказ|доставка|посылка|отправление)\s+(?:№|#|\d)",
+    r"(?<![\p{L}\d_])(?:delivery|shipping)\s+(?:notification|confirmation|update)(?![\p{L}\d_])",
+)
+AUTO_BODIES = (
+    r"(?:ваш[аеи]?\s+)?(?:заявк[аеи]|обращени[ея]|запрос|письмо|сообщени[ея])\s+(?:принят|зарегистриров|получен|обработ|создан)",
+    r"(?:присвоен|назначен)\s+(?:номер|id|#|№)\s*[:.]?\s*\d+",
+    r"(?:это|данное)\s+(?:автоматическ|сгенерированн)",
+    r"(?:this is an?\s+)?auto(?:matic(?:ally)?)?[\s-]*(?:generated|reply|response)",
+    r"(?:please\s+)?do\s+not\s+reply\s+(?:to\s+)?this",
+    r"не\s+отвечайте\s+на\s+(?:это|данное)\s+(?:письмо|сообщение)",
+    r"(?:служба\s+)?(?:техническ(?:ой|ая)\s+)?поддержк[аи]\s+получил[аи]",
+    r"(?:noreply|no-reply|mailer-daemon|postmaster|system)@",
+    r"(?:ниже\s+)?(?:текст|содержание|копия)\s+(?:вашего|исходного)\s+(?:письма|обращения|заявки|сообщения)",
+    r"(?:your\s+)?(?:original\s+)?(?:message|request|inquiry)\s+(?:is\s+)?(?:below|attached|included)",
+    r"(?:письмо|сообщение)\s+(?:отправлено|создано|сформировано)\s+автоматически",
+    r"это\s+автоматическое\s+(?:уведомление|сообщение|письмо)",
+    r"message\s+was\s+(?:auto(?:matically)?[-\s])?generated",
+)
+AUTO_SENDER = r"^(?:noreply|no-reply|no_reply|mailer-daemon|postmaster|system|notification|support-noreply|helpdesk)@"
+AUTO_TICKET, AUTO_FORM = r"(?:номер|ticket|#|№)\s*\d+", r"(?:name|имя|фио|phone|телефон|комментарий|comment)\s*:"
+#: Characters of a body that tell automatic mail, and below which one from such a sender needs no ticket number.
+AUTO_HEAD, AUTO_SHORT = 600, 200
+
+
 def auto_reply(subject: Column, body: Column, sender: Column) -> Column:
-    """The kind of automatic mail by subject, the head of the body or the sender, or null."""
-    s, b, f = F.lower(F.coalesce(subject, F.lit(""))), F.lower(F.substring(F.coalesce(body, F.lit("")), 1, 600)), F.lower(F.coalesce(sender, F.lit("")))
-    return (
-        F.when(s.rlike("^(auto(matic)?[ -]?reply|out of office)"), "subject")
-        .when(b.rlike("(this is an automatic|out of the office|do not reply)"), "body")
-        .when(f.rlike("^(no-?reply|mailer-daemon|postmaster)@"), "sender")
-    )
+    """The kind of automatic mail by subject, the head of the body or the sender, or null.
+
+    A sender alone counts for a short text or one with a ticket number, unless it is a filled-in form.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    has = lambda c, *patterns: c.rlike("(?iu)(?:" + "|".join(patterns) + ")")
+    head = F.substring(text(body), 1, AUTO_HEAD)
+    by_sender = has(text(sender), AUTO_SENDER) & ~has(head, AUTO_FORM) & ((F.length(text(body)) < AUTO_SHORT) | has(head, AUTO_TICKET))
+    return F.when(has(text(subject), *AUTO_SUBJECTS), "subject").when(has(head, *AUTO_BODIES), "body").when(by_sender, "sender")
 
 
 def priority_of(conflict: Column, urgency: Column, positions: Column, value: Column, parsed: Column, articles: Column, brands: Column) -> Column:

@@ -101,3 +101,55 @@ def deliver(d: DataFrame, post: Callable[[str, dict[str, str]], int], secret: by
             yield out.astype({"response_status": "Int32"})
 
     return d.select("key", "payload").mapInPandas(run, "key string, response_status int, last_error string")
+
+
+#: Columns of the export of messages and of events. Fixed values.
+MESSAGE_COLUMNS = (
+    "project_id", "message_key", "thread_id", "created_at", "updated_at", "pipeline_status", "brand", "subject", "from", "classification_label", "classification_confidence", "company_name",
+    "inn", "phone", "articles", "product_names", "priority", "risk_level", "sla_overdue", "has_conflicts", "recognition_confirmed", "exported", "crm_company_id", "crm_company_name",
+)
+EVENT_COLUMNS = ("id", "at", "scope", "type", "project_id", "message_key", "thread_id", "delivery_id", "status", "action", "consumer", "external_id", "summary")
+#: Deliveries as the store names them, and as the interface does. Fixed values.
+DELIVERY_NAMES = {
+    "id": "id", "clientId": "client_id", "clientName": "client_name", "key": "key", "event": "event", "messageKey": "message_key", "pipelineStatus": "pipeline_status", "status": "status", "attempts": "attempts",
+    "createdAt": "created_at", "updatedAt": "updated_at", "nextAttemptAt": "next_attempt_at", "lastAttemptAt": "last_attempt_at", "deliveredAt": "delivered_at", "lastError": "last_error", "responseStatus": "response_status",
+    "lastManualAction": "last_manual_action",
+}
+
+
+def csv_rows(rows: DataFrame, columns: tuple[str, ...], key: str) -> DataFrame:
+    """``key`` and ``line``: the given columns of a row as CSV; arrays are joined by a bar, missing columns and nulls are empty."""
+
+    def value(name: str) -> Column:
+        if name not in rows.columns:
+            return F.lit("")
+        kind = rows.schema[name].dataType.typeName()
+        c = F.array_join(name, "|") if kind == "array" else F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss") if kind.startswith("timestamp") else F.col(name).cast("string")
+        c = F.coalesce(c, F.lit(""))
+        return F.when(c.rlike('[",\n]'), F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"'))).otherwise(c)
+
+    return rows.select(F.col(key).alias("key"), F.concat_ws(",", *(value(c) for c in columns)).alias("line"))
+
+
+def delivery_names(rows: DataFrame) -> DataFrame:
+    """Deliveries with the interface's names and all of its columns; missing ones are null."""
+    return rows.select(*((F.col(old) if old in rows.columns else F.lit(None).cast("string")).alias(new) for old, new in DELIVERY_NAMES.items()))
+
+
+def append_new(batch: DataFrame, path: str, key: str, flush: int = 50) -> int:
+    """Append the rows of a batch whose key the table does not have yet, one file for about ``flush`` of them; their number.
+
+    A sink for ``foreachBatch``: a batch that comes again adds nothing.
+    """
+    spark = batch.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    new = batch.dropDuplicates([key])
+    if there:
+        new = new.join(spark.read.schema(batch.schema).parquet(path).select(key), key, "left_anti").select(*batch.columns)
+    new = new.persist()
+    n = new.count()
+    if n:
+        new.write.option("maxRecordsPerFile", flush).mode("append").parquet(path)
+    new.unpersist()
+    return n
