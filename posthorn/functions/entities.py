@@ -23,9 +23,9 @@ BASE: dict[str, dict[str, float]] = {
     "position": {"form": 0.95, "signature": 0.9, "body": 0.8, "sender": 0.6},
 }
 #: Words that make a candidate something else. Fixed values.
-DEPARTMENTS = r"(?iu)^(sales|purchasing|accounting|support|отдел|бухгалтерия|служба)\b"
+DEPARTMENTS = r"(?iu)^(sales|purchasing|accounting|support|отдел|бухгалтерия|служба)(?![\p{L}\d_])"
 NO_PERSON = r"(?iu)(regards|dear|hello|company|street|request|order|уважением|добрый|заявка)"
-NO_COMPANY = r"(?iu)^(re|fwd?|dear|order|request|invoice|заявка|заказ)\b"
+NO_COMPANY = r"(?iu)^(re|fwd?|dear|order|request|invoice|заявка|заказ)(?![\p{L}\d_])"
 GENERIC_BRANDS = ("other", "various", "original", "analog", "no name", "аналог")
 
 

@@ -131,7 +131,7 @@ def normal_phone(c: Column) -> Column:
 
 def phone_kind(normal: Column) -> Column:
     """Mobile if the area code begins with 9."""
-    return F.when(normal.rlike(r"^\+7 \(9"), "mobile").when(normal.rlike(r"^\+7 \("), "landline").otherwise("international")
+    return F.when(normal.rlike(r"^\+7 \(9"), "mobile").when(normal.rlike(r"^\+7 \("), "landline").when(normal.isNotNull(), "international")
 
 
 #: Reasons for which a digit group is no telephone number, in the order in which they are tried. Fixed values.

@@ -7,10 +7,12 @@ catalogues and not requests, are found as islands of mentions and removed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from posthorn.functions.arrays import before, let
+
 #: Words that are aliases of some brand and nearly always something else. Fixed values.
 FALSE_POSITIVES = ("the", "for", "new", "plus", "pro", "air", "set")
 GAP, CLUSTER = 18, 10
@@ -20,27 +22,27 @@ def mentions(docs: DataFrame, aliases: DataFrame, key: str, text: str) -> DataFr
     """(key, canonical, alias, pos, ends): every alias in every text; positions are characters from 0.
 
     ``aliases`` has canonical and alias. Words are ASCII letters and digits, so a boundary is any
-    other character.
+    other character. A word is joined with the aliases that begin with it and carries only as much
+    of the text behind it as the longest alias has words, never the text itself.
     """
     clean = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", " ")
     low = F.lower(clean)
-    gaps, words = F.split(low, "[a-z0-9]+", -1), F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
-    placed = F.aggregate(
-        F.arrays_zip(gaps.alias("g"), words.alias("w")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,word:string>>").alias("out")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["g"]) + F.coalesce(F.length(p["w"]), F.lit(0))).alias("at"),
-            F.when(p["w"].isNotNull(), F.concat(a["out"], F.array(F.struct((a["at"] + F.length(p["g"])).alias("pos"), p["w"].alias("word"))))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    each = docs.select(F.col(key), low.alias("low"), F.explode(placed).alias("p")).select(key, "low", "p.pos", "p.word")
     a = aliases.select("canonical", F.lower("alias").alias("alias"), F.regexp_extract(F.lower("alias"), "[a-z0-9]+", 0).alias("word")).where(
         ~F.lower("alias").isin(*FALSE_POSITIVES) & (F.col("word") != "")
     ).distinct()
-    after = F.substring(F.col("low"), F.col("pos") + 1 + F.length("alias"), F.lit(1))
-    fits = (F.substring(F.col("low"), F.col("pos") + 1, F.length("alias")) == F.col("alias")) & ~after.rlike("^[a-z0-9]")
-    return each.join(a, "word").where(fits).select(key, "canonical", "alias", "pos", (F.col("pos") + F.length("alias")).alias("ends"))
+    ahead = a.agg(F.max(F.size(F.regexp_extract_all("alias", F.lit("[a-z0-9]+"), F.lit(0))))).first()[0] or 1
+    gaps, words = F.split(low, "[a-z0-9]+", -1), F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
+
+    def placed(g: Column, w: Column) -> Column:
+        """Each word with its place and the words and gaps from it on; ``g`` has one gap more than there are words."""
+        lengths = F.zip_with(F.slice(g, F.lit(1), F.size(w)), w, lambda x, y: F.length(x) + F.length(y))
+        follows = F.zip_with(w, F.slice(g, F.lit(2), F.size(w)), lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
+        pos = F.zip_with(before(lengths, lambda x, y: x + y), F.slice(g, F.lit(1), F.size(w)), lambda x, y: x + F.length(y))
+        return F.transform(w, lambda x, i: F.struct(F.get(pos, i).alias("pos"), x.alias("word"), F.array_join(F.slice(follows, i + 1, F.lit(ahead + 1)), "").alias("tail")))
+
+    each = docs.select(F.col(key), F.explode(let(gaps, lambda g: let(words, lambda w: placed(g, w)))).alias("p")).select(key, "p.*")
+    after = F.substring(F.col("tail"), F.length("alias") + 1, F.lit(1))
+    return each.join(a, "word").where(F.startswith("tail", F.col("alias")) & ~after.rlike("^[a-z0-9]")).select(key, "canonical", "alias", "pos", (F.col("pos") + F.length("alias")).alias("ends"))
 
 
 def without_clusters(found: DataFrame, key: str, gap: int = GAP, most: int = CLUSTER) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from posthorn.plans.scratch import materialise
+
 SYNONYMS, DEALS = 12, 20
 
 
@@ -29,7 +31,8 @@ def rollup(rows: DataFrame) -> DataFrame:
     """
     price = F.when(F.col("price") > 0, F.col("price"))
     longest = F.max_by("product_name", F.struct(F.length("product_name"), "product_name"))
-    keyed = rows.withColumn("key", article_key(F.col("article")))
+    # Three aggregates read it: what ``rows`` is made of is computed once.
+    keyed = materialise(rows.withColumn("key", article_key(F.col("article"))), "catalogue")
     totals = keyed.groupBy("key").agg(
         F.count("*").alias("source_rows"),
         F.round(F.sum("quantity"), 3).alias("total_quantity"),

@@ -276,7 +276,7 @@ def pipeline_status(label: Column, clarify: Column, review: Column, gate_ok: Col
 
 
 #: A company name that is no name. Fixed values.
-DIRTY_COMPANY = r"(?iu)(https?://|www\.|@|\b(tel|fax|тел|факс)\b|[<>{}|])"
+DIRTY_COMPANY = r"(?iu)(https?://|www\.|@|(?<![\p{L}\d_])(tel|fax|тел|факс)(?![\p{L}\d_])|[<>{}|])"
 
 
 def quality_gate(request: Column, inn: Column, company: Column, person: Column, phone: Column, products: Column, confidence: Column) -> tuple[Column, Column]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from posthorn.plans.scratch import materialise
+
 K1, B = 1.2, 0.75
 #: Weights of the catalogue's columns. Fixed values.
 CATALOGUE_WEIGHTS = {"article": 1.0, "brand": 1.2, "product_name": 1.5, "description": 0.8, "synonyms": 0.6}
@@ -20,6 +22,11 @@ def index(docs: DataFrame, key: str, weights: dict[str, float]) -> DataFrame:
     return each.groupBy(key, "token").agg(F.sum("w").alias("tf"))
 
 
+def stored(index: DataFrame) -> DataFrame:
+    """An index written once, sorted by token, so that a query reads the row groups of its terms only."""
+    return materialise(index.repartition("token").sortWithinPartitions("token"), "fts")
+
+
 def terms(query: str) -> list[str]:
     """The words of a query; everything else is a separator."""
     return [t for t in "".join(c if c.isalnum() else " " for c in query.lower()).split() if t]

@@ -50,14 +50,28 @@ def cascade(left: DataFrame, key: str, stages: list[tuple[str, DataFrame]], colu
 def scored_matches(signals: DataFrame, history: DataFrame, threshold: int = THRESHOLD, cap: int = CAP) -> DataFrame:
     """The best company for each message by shared signals.
 
-    ``signals`` has message, kind and value; ``history`` has company, kind and value. Rows are
-    distinct, so one join by (kind, value) finds every shared signal, and weights are summed.
+    ``signals`` has message, kind and value; ``history`` has company, kind and value. A score of
+    more than a brand and a domain needs a shared article or two shared brands, so only companies
+    of an article or of a pair of brands are candidates: both are far rarer than a brand, which
+    may have a share of all messages and of all companies. Their other signals are joined then.
     """
+    if threshold <= WEIGHTS["brand"] + WEIGHTS["domain"]:
+        raise ValueError("a brand and a domain would do, so pairs of brands don't find all candidates")
+    s, h = signals.distinct(), history.distinct()
+    of = lambda rows, kind: rows.where(F.col("kind") == kind).drop("kind")
+
+    def pairs(rows: DataFrame, owner: str) -> DataFrame:
+        own = of(rows, "brand")
+        return own.join(own.select(owner, F.col("value").alias("second")), owner).where("value < second")
+
+    by_article = of(s, "article").join(of(h, "article"), "value").select("message", "company")
+    by_brands = pairs(s, "message").join(pairs(h, "company"), ["value", "second"]).select("message", "company")
+    candidates = by_article.unionByName(by_brands).distinct()
     weight = F.lit(0)
     for kind, w in WEIGHTS.items():
         weight = F.when(F.col("kind") == kind, w).otherwise(weight)
     scored = (
-        signals.distinct().join(history.distinct(), ["kind", "value"]).groupBy("message", "company")
+        candidates.join(s, "message").join(h, ["company", "kind", "value"]).groupBy("message", "company")
         .agg(F.sum(weight).alias("score"), F.max(F.struct(weight.alias("w"), "kind")).alias("top"))
         .where(F.col("score") >= threshold)
     )

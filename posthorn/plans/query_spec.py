@@ -136,6 +136,10 @@ def with_preset(query: MessageQuery, saved: dict[str, dict] | None = None) -> Me
     return replace(query, **{k: v for k, v in given.items() if k in known and getattr(query, k) in (None, 0)})
 
 
+#: Presets of one client in one project; more are an error, none is dropped.
+MAX_PRESETS = 1000
+
+
 def saved_presets(rows: DataFrame, client: str, project: str) -> dict[str, dict]:
     """a client's saved presets, those of the project before general ones, the newest first.
 
@@ -143,8 +147,11 @@ def saved_presets(rows: DataFrame, client: str, project: str) -> dict[str, dict]
     presets are a handful of rows of configuration.
     """
     mine = rows.where((F.col("client_id") == client) & (F.col("project_id").isNull() | (F.col("project_id") == project)))
-    first = mine.groupBy("preset_key").agg(F.min_by("query_json", F.struct(F.col("project_id").isNull(), -F.col("id"))).alias("q")).limit(1000)
-    return {r.preset_key: json.loads(r.q) for r in first.collect()}
+    first = mine.groupBy("preset_key").agg(F.min_by("query_json", F.struct(F.col("project_id").isNull(), -F.col("id"))).alias("q"))
+    found = first.limit(MAX_PRESETS + 1).collect()
+    if len(found) > MAX_PRESETS:
+        raise ValueError(f"more than {MAX_PRESETS} presets of one client")
+    return {r.preset_key: json.loads(r.q) for r in found}
 
 
 #: Names of the recognition filters of the inbox. Fixed values.

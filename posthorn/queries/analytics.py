@@ -159,11 +159,11 @@ def estimated_value(spark, sf):
     return g.withColumns({"valuable": F.col("cents") > 5_000_000, "large": F.col("positions") >= 5})
 
 
-@query("""SELECT message, round(CAST(sum(c) AS DOUBLE) / count(c) / 100, 4) AS mean_confidence, CAST(round(100.0 * count(c) / 4) AS BIGINT) AS completeness FROM (SELECT l_orderkey AS message, CASE WHEN l_discount > 0.03 THEN CAST(round(l_discount * 100) AS BIGINT) END AS c FROM lineitem WHERE l_linenumber <= 4) x GROUP BY 1""")
+@query("""SELECT message, CAST((2 * sum(c) + count(c)) // nullif(2 * count(c), 0) AS DOUBLE) / 100 AS mean_confidence, CAST(round(100.0 * count(c) / count(*)) AS BIGINT) AS completeness FROM (SELECT l_orderkey AS message, CASE WHEN l_discount > 0.03 THEN CAST(round(l_discount * 100) AS BIGINT) END AS c FROM lineitem) x GROUP BY 1""")
 def mean_confidence(spark, sf):
-    """The mean of positive confidences and the share of filled fields."""
+    """The mean of positive confidences, rounded half up to 2 digits, and the share of filled fields."""
     c = F.when(F.col("l_discount") > 0.03, F.round(F.col("l_discount") * 100).cast("long"))
-    return table(spark, sf, "lineitem").where("l_linenumber <= 4").groupBy(F.col("l_orderkey").alias("message")).agg(F.round(F.try_divide(F.sum(c).cast("double"), F.count(c)) / 100, 4).alias("mean_confidence"), F.round(100.0 * F.count(c) / 4).cast("long").alias("completeness"))
+    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("message")).agg((F.floor(F.try_divide(2 * F.sum(c) + F.count(c), 2 * F.count(c))) / 100).alias("mean_confidence"), F.round(100.0 * F.count(c) / F.count("*")).cast("long").alias("completeness"))
 
 
 @query("""SELECT doc_group, count(DISTINCT k) AS ids, count(DISTINCT k) > 1 AND bool_and(NOT is_primary) AS conflict FROM (SELECT l_orderkey AS doc_group, l_suppkey AS k, l_linenumber = 1 AND l_orderkey % 2 = 0 AS is_primary FROM lineitem) x GROUP BY 1""")
@@ -259,7 +259,8 @@ def routing_candidates(spark, sf):
     return table(spark, sf, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("source_rows")).where("source_rows >= 3").orderBy(F.desc("source_rows"), "p_brand", "p_type").limit(100)
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, s""")
 def event_windows(spark, sf):
     """Extension: sessions of a user with gaps of at most half an hour."""
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from posthorn.operators import knowledge as K
 from posthorn.operators import matching as X
 from posthorn.plans import messages as M
 from posthorn.sources.tables import table
@@ -156,25 +157,11 @@ def article_fragment_lookup(spark, sf):
     return table(spark, sf, "part").select("p_partkey", rank.alias("rank"), "p_size", "p_retailprice").where("rank IS NOT NULL").orderBy("rank", F.desc("p_size"), F.desc("p_retailprice"), "p_partkey").limit(25).select("p_partkey", "rank")
 
 
-_SMALL = "(SELECT p_partkey AS id, lower(p_name) AS name FROM part WHERE p_size <= 3)"
-
-
-@query(f"""WITH s AS {_SMALL}, w AS (SELECT id, name, list_distinct(list_filter(regexp_split_to_array(name, '[^a-z0-9]+'), lambda w: w <> '')) AS ws FROM s),
-p AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.ws, y.ws)) AS i, len(list_distinct(list_concat(x.ws, y.ws))) AS u FROM w x JOIN w y ON x.id < y.id)
-SELECT a, b, round(i / u, 4) AS similarity FROM p WHERE i > 0 AND i * 2 >= u""")
-def jaccard_names(spark, sf):
-    """Pairs of names with a word-set similarity of a half or more, among the smallest parts only; see jaccard_names_whole."""
-    s = table(spark, sf, "part").where("p_size <= 3").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"))
-    pairs = X.shared_word_pairs(s, s, "name").where("a < b")
-    sim = X.jaccard(X.word_set(F.col("name_a")), X.word_set(F.col("name_b")))
-    return pairs.select("a", "b", sim.alias("similarity")).where("similarity >= 0.5")
-
-
 @query("""WITH s AS (SELECT p_partkey AS id, lower(p_name) AS name FROM part), c AS (SELECT name, min(id) AS rep FROM s GROUP BY 1),
 w AS (SELECT rep, name, list_distinct(list_filter(regexp_split_to_array(name, '[^a-z0-9]+'), lambda w: w <> '')) AS ws FROM c),
 p AS (SELECT x.rep AS a, y.rep AS b, len(list_intersect(x.ws, y.ws)) AS i, len(list_distinct(list_concat(x.ws, y.ws))) AS u FROM w x JOIN w y ON x.rep < y.rep)
 SELECT a, b, round(i / u, 4) AS similarity FROM p WHERE i > 0 AND i * 2 >= u UNION ALL SELECT rep, id, 1.0::DOUBLE FROM s JOIN w ON w.name = s.name WHERE id <> rep AND len(ws) > 0""")
-def jaccard_names_whole(spark, sf):
+def jaccard_names(spark, sf):
     """Classes of equal names of all parts with their members, and classes with a word-set similarity of a half or more."""
     return X.similar_name_classes(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
 
@@ -183,12 +170,13 @@ def jaccard_names_whole(spark, sf):
 h AS (SELECT p_partkey AS id, lower(p_type) || ' ' || CAST(p_size AS VARCHAR) AS name FROM part)
 SELECT id, t, round(least(length(t), length(name)) / greatest(length(t), length(name)), 4) AS ratio FROM h JOIN n ON contains(name, t) WHERE length(t) >= 6 AND least(length(t), length(name)) / greatest(length(t), length(name)) >= 0.65""")
 def fuzzy_containment(spark, sf):
-    """Names contained in longer ones, found through shared words."""
+    """Names contained in longer ones, found by their rarest letters."""
     p = table(spark, sf, "part")
     h = p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", F.lower("p_type"), F.col("p_size").cast("string")).alias("name"))
     n = p.select(F.lower("p_type").alias("name")).distinct().withColumn("id", F.col("name"))
-    pairs = X.shared_word_pairs(h, n, "name").withColumn("ratio", X.contains_ratio(F.col("name_a"), F.col("name_b")))
-    return pairs.where((F.length("name_b") >= 6) & (F.col("ratio") >= 0.65)).select(F.col("a").alias("id"), F.col("b").alias("t"), "ratio")
+    named = n.select(F.col("id").alias("a"), F.col("name").alias("name_a"))
+    pairs = K.contained(named, h.select(F.col("id").alias("b"), F.col("name").alias("name_b"))).withColumn("ratio", X.contains_ratio(F.col("name_a"), F.col("name_b")))
+    return pairs.where((F.length("name_a") >= 6) & (F.col("ratio") >= 0.65)).select(F.col("b").alias("id"), F.col("a").alias("t"), "ratio")
 
 
 @query("""SELECT message_key, coalesce(o_orderstatus, 'not_found') AS outcome FROM (SELECT 'm' || CAST(p_partkey * 3 AS VARCHAR) AS message_key, p_partkey * 3 AS k FROM part) r LEFT JOIN orders ON o_orderkey = k""")
@@ -228,10 +216,13 @@ def correction_rate(spark, sf):
 # Sets and dedup
 
 
-@query("""SELECT lower(p_brand) AS key, min(p_brand) AS shown, count(*) AS n FROM part GROUP BY 1""")
+@query("""WITH f AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN upper(p_brand) WHEN 1 THEN lower(p_brand) ELSE p_brand END AS b FROM part) SELECT lower(b) AS key, arg_min(b, p_partkey) AS shown, count(*) AS n FROM f GROUP BY 1""")
 def dedup_case_insensitive(spark, sf):
-    """U4: one row for each spelling regardless of case."""
-    return table(spark, sf, "part").groupBy(F.lower("p_brand").alias("key")).agg(F.min("p_brand").alias("shown"), F.count("*").alias("n"))
+    """U4: one row for each spelling regardless of case, in its first casing."""
+    k = F.col("p_partkey") % 3
+    b = F.when(k == 0, F.upper("p_brand")).when(k == 1, F.lower("p_brand")).otherwise(F.col("p_brand"))
+    f = table(spark, sf, "part").select("p_partkey", b.alias("b"))
+    return f.groupBy(F.lower("b").alias("key")).agg(F.min_by("b", "p_partkey").alias("shown"), F.count("*").alias("n"))
 
 
 @query("""SELECT upper(regexp_replace(p_name, '[^A-Za-z0-9]+', '', 'g')) AS key, min(p_partkey) AS first_id, count(*) AS n FROM part GROUP BY 1""")
@@ -253,15 +244,8 @@ def message_key_hash(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.sha1(F.concat_ws("|", slot("c_mktsegment"), slot("c_name"), slot("c_nationkey"))).alias("message_key"), F.sha2("c_name", 256).alias("idempotency_key"))
 
 
-@query("""SELECT c_name AS name FROM customer WHERE c_custkey % 5 = 0 UNION SELECT s_name FROM supplier UNION SELECT c_name FROM customer WHERE c_custkey % 3 = 0""")
-def union_names(spark, sf):
-    """Distinct union of name sets, of some customers only; see union_names_whole."""
-    c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
-    return c.where("c_custkey % 5 = 0").select(F.col("c_name").alias("name")).union(s.select("s_name")).union(c.where("c_custkey % 3 = 0").select("c_name")).distinct()
-
-
 @query("""SELECT c_name AS name FROM customer UNION SELECT s_name FROM supplier UNION SELECT p_name FROM part""")
-def union_names_whole(spark, sf):
+def union_names(spark, sf):
     """Distinct union of the names of all customers, suppliers and parts."""
     c, s, p = (table(spark, sf, t) for t in ("customer", "supplier", "part"))
     return c.select(F.col("c_name").alias("name")).union(s.select("s_name")).union(p.select("p_name")).distinct()
@@ -285,11 +269,11 @@ def line_item_merge(spark, sf):
 
 @query("""SELECT n_name AS value, length(n_name) AS n FROM nation a WHERE NOT EXISTS (SELECT 1 FROM nation b WHERE b.n_name <> a.n_name AND contains(b.n_name, a.n_name) AND length(b.n_name) - length(a.n_name) <= 4)""")
 def absorption_dedup(spark, sf):
-    """Names that no slightly longer name contains; a small array is compared within one row."""
-    one = table(spark, sf, "nation").agg(F.array_sort(F.collect_set("n_name")).alias("names"))
-    absorbed = lambda x, names: F.exists(names, lambda y: (y != x) & F.contains(y, x) & (F.length(y) - F.length(x) <= 4))
-    kept = F.filter("names", lambda x: ~absorbed(x, F.col("names")))
-    return one.select(F.explode(kept).alias("value")).withColumn("n", F.length("value").cast("long"))
+    """Names that no slightly longer name contains, found by their rarest letters."""
+    names = table(spark, sf, "nation").select("n_name").distinct()
+    short, long = names.select(F.col("n_name").alias("a"), F.col("n_name").alias("name_a")), names.select(F.col("n_name").alias("b"), F.col("n_name").alias("name_b"))
+    gone = K.contained(short, long).where((F.col("a") != F.col("b")) & (F.length("b") - F.length("a") <= 4)).select(F.col("a").alias("n_name"))
+    return names.join(gone, "n_name", "left_anti").select(F.col("n_name").alias("value"), F.length("n_name").cast("long").alias("n"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_totalprice * 2 <> o_totalprice + o_custkey THEN 1 ELSE 0 END + CASE WHEN o_orderstatus IS DISTINCT FROM CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'F' END THEN 1 ELSE 0 END AS changed FROM orders""")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from posthorn.plans.scratch import new_path
 from posthorn.sources.tables import table
 from posthorn.streaming import jobs
 
@@ -52,10 +53,32 @@ def stream_windows(spark, sf):
     return done.select("start", "event_type", "n").unionByName(tail)
 
 
-@query("""SELECT event_id, user_id, true AS allowed FROM events""")
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, CAST(epoch(ts) AS BIGINT) AS sec FROM events), r AS (SELECT user_id, min(sec) AS sec FROM e GROUP BY 1
+ UNION ALL SELECT user_id, nxt FROM (SELECT r.user_id, (SELECT min(e.sec) FROM e WHERE e.user_id = r.user_id AND e.sec >= r.sec + 86400) AS nxt FROM r) x WHERE nxt IS NOT NULL),
+g AS (SELECT r.user_id, min(event_id) AS event_id FROM r JOIN e ON e.user_id = r.user_id AND e.sec = r.sec GROUP BY r.user_id, r.sec)
+SELECT e.event_id, e.user_id, g.event_id IS NOT NULL AS allowed FROM e LEFT JOIN g ON g.event_id = e.event_id""")
 def stream_limiter(spark, sf):
-    """No user of this table reaches 120 requests a minute."""
-    return jobs.run_available(jobs.limiter(_stream(spark, sf, "events")))
+    """One request a user in 24 hours, so that most requests are refused."""
+    return jobs.run_available(jobs.limiter(_stream(spark, sf, "events"), window_s=86_400, allowed=1))
+
+
+def _post(payload: str, headers: dict[str, str]) -> int:
+    """A receiver that refuses errors, fails on clicks and takes the rest if they are signed."""
+    if payload == "click":
+        raise OSError("down")
+    return 503 if payload == "error" or len(headers["X-Signature"]) != 64 else 200
+
+
+@query("""SELECT 'd' || CAST(event_id AS VARCHAR) AS key, CASE WHEN event_type IN ('error', 'click') THEN 'failed' ELSE 'delivered' END AS status, CASE WHEN event_type IN ('error', 'click') THEN 5 ELSE 1 END AS attempts,
+CASE event_type WHEN 'error' THEN 503 WHEN 'click' THEN NULL ELSE 200 END AS response_status, CASE WHEN event_type = 'click' THEN 'down' END AS last_error FROM events""")
+def outbox_retries(spark, sf):
+    """Five rounds with rising waits; what is refused five times has failed."""
+    where, e = new_path(spark, "outbox"), table(spark, sf, "events")
+    new = e.select(F.concat(F.lit("d"), F.col("event_id").cast("string")).alias("key"), F.col("event_type").alias("payload"))
+    # The second round comes before the first wait is over and sends nothing.
+    for n, now in enumerate(("2024-02-01 00:00:00", "2024-02-01 00:00:59", "2024-02-01 00:01:00", "2024-02-01 00:06:00", "2024-02-01 00:21:00", "2024-02-01 01:21:00", "2024-02-02 00:00:00")):
+        jobs.outbox_round(spark, new if n == 0 else None, _post, b"secret", where, n, now)
+    return jobs.outbox_state(spark, where).select("key", "status", "attempts", "response_status", "last_error")
 
 
 @query("""WITH t AS (SELECT DISTINCT conv_id, turn, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM conversations),

@@ -244,7 +244,28 @@ _CSV = ("message_key", "project_id", "status", "priority", "risk", "label", "com
 ORACLE["csv_export_shape"] = f"""WITH {M.SQL} SELECT message_key, concat_ws(',', {", ".join(
     f"CASE WHEN regexp_matches(coalesce({c}, ''), '[\",\\n]') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE coalesce({c}, '') END" for c in _CSV
 )}, array_to_string(brands, '|'), array_to_string(articles, '|'), CAST(n_attachments AS VARCHAR)) AS line FROM m"""
-QUERIES["crm_payloads"] = lambda spark, sf: exports.crm_payloads(M.from_orders(spark, sf), "generic").select("message_key", "payload")
+_PAYLOAD = {"generic": ("external_id", "tax_id", "amount"), "1c": ("Number", "INN", "Sum"), "amocrm": ("request_id", "PHONE", "price"), "bitrix24": ("ORIGIN_ID", "EMAIL", "OPPORTUNITY")}
+
+
+def crm_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON for each target, read back: its key, one of its texts, its amount and its articles."""
+    m = M.from_orders(spark, sf_dir)
+    out = None
+    for target, (key, text, amount) in _PAYLOAD.items():
+        get = lambda name: F.get_json_object("payload", f"$.{name}")  # noqa: B023, E731
+        one = exports.crm_payloads(m, target).select(
+            "message_key", F.lit(target).alias("target"), get(key).alias("key"), get(text).alias("text"), get(amount).cast("double").alias("amount"),
+            F.array_join(F.from_json(get("articles"), "array<string>"), "|").alias("articles"), F.json_object_keys("payload").getItem(0).alias("first"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES["crm_payloads"] = crm_payloads
+ORACLE["crm_payloads"] = f"WITH {M.SQL} " + " UNION ALL ".join(
+    f"SELECT message_key, '{t}' AS target, message_key AS key, {c} AS text, CAST(total AS DOUBLE) AS amount, array_to_string(articles, '|') AS articles, '{k}' AS first FROM m"
+    for t, c, k in (("generic", "inn", "external_id"), ("1c", "inn", "Number"), ("amocrm", "phone", "request_id"), ("bitrix24", "sender_email", "ORIGIN_ID"))
+)
 QUERIES["crm_sync_batch"] = lambda spark, sf: exports.sync_batch(M.from_orders(spark, sf, lines=False)).select("message_key", "created_at")
 ORACLE["crm_sync_batch"] = f"WITH {M.SQL_BASE} SELECT message_key, created_at FROM b WHERE status = 'ready_for_crm' AND acked_crm IS NULL ORDER BY created_at, message_key LIMIT 50"
 QUERIES["message_meta"] = lambda spark, sf: M.from_orders(spark, sf).select(

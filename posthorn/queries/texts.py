@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from posthorn.functions import articles as A
 from posthorn.functions import text as T
 from posthorn.operators import classify as C
 from posthorn.operators import fts
@@ -39,7 +40,11 @@ def html_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
 
 
-@query()
+@query("""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<head[^>]*>.*?</head>', ' ', 'gs'), '<!--.*?-->', ' ', 'gs') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(t, '<br */?>|</(p|div|tr|li|h[1-6]|table|ul|ol|nav|footer|article) *>', chr(10), 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM b),
+d AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda l: trim(regexp_replace(l, '[ \t\r]+', ' ', 'g'))), lambda l: l <> '') AS ls FROM c)
+SELECT page_id, array_to_string(ls, chr(10)) AS text FROM d""")
 def html_strip(spark, sf):
     """Pages as plain text."""
     return table(spark, sf, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
@@ -116,19 +121,14 @@ def requisites(spark, sf):
 
 @query()
 def article_extract(spark, sf):
-    """Article candidates with reasons for rejection."""
-    a = table(spark, sf, "documents").select("doc_id", F.explode(T.articles(F.col("text"))).alias("a"))
-    return a.select("doc_id", "a.value", "a.reason")
-
-
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS quantity, 'pcs' AS unit FROM lineitem WHERE l_linenumber <= 2""")
-def quantity_extract(spark, sf):
-    """Quantities read back from written line items, of the first two lines only; see quantity_extract_whole."""
-    return _quantities(table(spark, sf, "lineitem").where("l_linenumber <= 2"))
+    """Articles of whole documents, and what was rejected and why; see article_reasons and articles_of_mails for SQL."""
+    a = table(spark, sf, "documents").select("doc_id", A.extract({"current": F.col("text")}).alias("a")).select("doc_id", "a.*")
+    kept = a.select("doc_id", F.explode("articles").alias("value"), F.lit(None).cast("string").alias("reason"))
+    return kept.unionByName(a.select("doc_id", F.explode("rejected").alias("r")).select("doc_id", "r.value", "r.reason"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS quantity, 'pcs' AS unit FROM lineitem""")
-def quantity_extract_whole(spark, sf):
+def quantity_extract(spark, sf):
     """Quantities read back from all written line items."""
     return _quantities(table(spark, sf, "lineitem"))
 
@@ -139,11 +139,15 @@ def _quantities(li):
     return q.select("l_orderkey", "l_linenumber", "l_partkey", "q.quantity", "q.unit")
 
 
-@query("""SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS lines, CAST(0 AS BIGINT) AS quoted_chars FROM documents""")
+@query(f"""WITH t AS (SELECT doc_id, {_T} AS own, CASE WHEN doc_id % 2 = 0 THEN chr(10) || '> ' || replace({_T}, chr(10), chr(10) || '> ') ELSE '' END AS q FROM documents)
+SELECT doc_id, len(string_split(own || q, chr(10))) AS lines, length(own) AS current_chars, CASE WHEN q = '' THEN 0 ELSE length(q) - 1 END AS quoted_chars FROM t""")
 def mail_zones(spark, sf):
-    """Documents have no quotations, so all text is current."""
-    z = table(spark, sf, "documents").select("doc_id", F.size(T.lines(F.col("text"))).cast("long").alias("lines"), T.split_quoted(F.col("text")).alias("z"))
-    return z.select("doc_id", "lines", F.length("z.quoted").cast("long").alias("quoted_chars"))
+    """Every second document answers itself, its own text quoted below."""
+    own = F.coalesce("text", F.lit(""))
+    quoted = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\n> "), F.replace(own, F.lit("\n"), F.lit("\n> ")))).otherwise("")
+    whole = F.concat(own, quoted)
+    z = table(spark, sf, "documents").select("doc_id", F.size(T.lines(whole)).cast("long").alias("lines"), T.split_quoted(whole).alias("z"))
+    return z.select("doc_id", "lines", F.length("z.current").cast("long").alias("current_chars"), F.length("z.quoted").cast("long").alias("quoted_chars"))
 
 
 @query(f"""WITH {M.SQL_BASE} SELECT message_key, lower(trim(regexp_replace(CASE WHEN id % 2 = 0 THEN 'Re: Fwd: ' ELSE '' END || subject, '^(Re: Fwd: )', ''))) AS topic FROM b""")
@@ -321,7 +325,7 @@ tf AS (SELECT doc_id, w, count(*) AS tf FROM tk WHERE w IN ('disgusting', 'pathe
 SELECT tf.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 4) AS score FROM tf JOIN df ON df.w = tf.w JOIN dl ON dl.doc_id = tf.doc_id, n GROUP BY 1""")
 def fts_bm25(spark, sf):
     """BM25 of three terms."""
-    return fts.bm25(fts.index(table(spark, sf, "documents"), "doc_id", {"text": 1.0}), "disgusting pathetic token").select("doc_id", F.round("score", 4).alias("score"))
+    return fts.bm25(fts.stored(fts.index(table(spark, sf, "documents"), "doc_id", {"text": 1.0})), "disgusting pathetic token").select("doc_id", F.round("score", 4).alias("score"))
 
 
 @query("""SELECT p_partkey AS id, p_size AS relevance FROM part ORDER BY p_size DESC, p_retailprice DESC, p_partkey LIMIT 10""")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from posthorn.plans.scratch import new_path
+from posthorn.plans.scratch import materialise, new_path
 
 
 def source(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -> DataFrame:
@@ -36,58 +36,117 @@ def windowed_counts(events: DataFrame, at: str = "ts", kind: str = "event_type",
     )
 
 
-def limiter(events: DataFrame, user: str = "user_id", at: str = "ts", window_s: int = 60, allowed: int = 120) -> DataFrame:
-    """Exact sliding-window limiter; only allowed requests count. State: the times of the last window."""
+def limiter(events: DataFrame, user: str = "user_id", at: str = "ts", window_s: int = 60, allowed: int = 120, late: str = "10 minutes") -> DataFrame:
+    """Exact sliding-window limiter; only allowed requests count.
+
+    State: at most ``allowed`` times of the last window; it goes when the watermark (``late`` behind the newest
+    event) has passed the window. All of a user's requests of a trigger are put in order before they are judged; one
+    that comes in a later trigger is judged then.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
+        asked = sorted((int(t), int(e)) for pdf in batches for e, t in zip(pdf["event_id"], pdf["sec"], strict=True))
         rows = []
-        for pdf in batches:
-            for event_id, t in sorted(zip(pdf["event_id"], pdf["sec"], strict=True), key=lambda x: (x[1], x[0])):
-                times = [x for x in times if x > t - window_s]
-                ok = len(times) < allowed
-                if ok:
-                    times.append(int(t))
-                rows.append((int(event_id), key[0], ok))
+        for t, event_id in asked:
+            times = [x for x in times if x > t - window_s]
+            ok = len(times) < allowed
+            if ok:
+                times.append(t)
+            rows.append((event_id, key[0], ok))
         state.update((times,))
+        state.setTimeoutTimestamp(max((max(times, default=0) + window_s) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=["event_id", "user_id", "allowed"])
 
-    keyed = events.select("event_id", F.col(user).alias("user_id"), F.unix_seconds(F.col(at).cast("timestamp")).alias("sec"))
-    return keyed.groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, allowed boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
+    keyed = events.select("event_id", F.col(user).alias("user_id"), F.col(at).cast("timestamp").alias("at")).withWatermark("at", late)
+    keyed = keyed.select("event_id", "user_id", "at", F.unix_seconds("at").alias("sec"))
+    return keyed.groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, allowed boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def new_signals(messages: DataFrame, thread: str = "conv_id", key: str = "turn", text: str = "text") -> DataFrame:
-    """For each message of a thread the number of words that the thread hasn't had yet. State: the thread's words."""
+def new_signals(messages: DataFrame, thread: str = "conv_id", key: str = "turn", text: str = "text", at: str | None = None, ttl: str = "90 days") -> DataFrame:
+    """For each message of a thread the number of words that the thread hasn't had yet.
+
+    State: the thread's words. With a time column ``at`` it goes when the watermark has passed the thread's last
+    message by ``ttl``; messages without a time can't expire anything. All of a thread's messages of a trigger are
+    put in order before they are counted.
+    """
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen = set(state.get[0]) if state.exists else set()
-        rows = []
+        rows, last = [], 0
         for pdf in batches:
-            for k, words in sorted(zip(pdf["k"], pdf["words"], strict=True), key=lambda x: x[0]):
-                fresh = set(words) - seen
-                seen |= fresh
-                rows.append((group[0], int(k), len(fresh)))
+            last = max([last, *(int(x.timestamp() * 1000) for x in pdf["at"])]) if at else 0
+            rows += [(int(k), w) for k, w in zip(pdf["k"], pdf["words"], strict=True)]
+        out = []
+        for k, words in sorted(rows, key=lambda x: x[0]):
+            fresh = set(words) - seen
+            seen |= fresh
+            out.append((group[0], k, len(fresh)))
         state.update((sorted(seen),))
-        yield pd.DataFrame(rows, columns=["thread", "k", "new_signals"])
+        if at:
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=["thread", "k", "new_signals"])
 
     words = F.array_distinct(F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), lambda w: w != ""))
-    keyed = messages.select(F.col(thread).alias("thread"), F.col(key).alias("k"), words.alias("words"))
-    return keyed.groupBy("thread").applyInPandasWithState(run, "thread long, k long, new_signals long", "words array<string>", "append", GroupStateTimeout.NoTimeout)
+    columns = [F.col(thread).alias("thread"), F.col(key).alias("k"), words.alias("words")]
+    keyed = messages.select(*columns, F.col(at).cast("timestamp").alias("at")).withWatermark("at", ttl) if at else messages.select(*columns)
+    timeout = GroupStateTimeout.EventTimeTimeout if at else GroupStateTimeout.NoTimeout
+    return keyed.groupBy("thread").applyInPandasWithState(run, "thread long, k long, new_signals long", "words array<string>", "append", timeout)
+
+
+_OUTBOX = "key string, payload string, status string, attempts int, response_status int, last_error string, next_attempt_at timestamp, batch long"
+
+
+def outbox_state(spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
+    """The last outcome of every delivery in ``table``; ``before`` leaves out batches from that number on."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], _OUTBOX)
+    rows = spark.read.schema(_OUTBOX).parquet(table)
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    return rows.groupBy("key").agg(F.max_by(F.struct(*rows.columns), F.struct("attempts", "batch")).alias("r")).select("r.*")
+
+
+def attempt(deliveries: DataFrame, post: Callable[[str, dict[str, str]], int], secret: bytes, now: str | None = None) -> DataFrame:
+    """Send deliveries (key, payload, attempts so far) once; their outcome.
+
+    What fails waits for 1 m, 5 m, 15 m, 1 h and 6 h, and after MAX_ATTEMPTS attempts is ``failed`` for good.
+    """
+    from posthorn.sources.exports import MAX_ATTEMPTS, backoff, deliver
+
+    sent = materialise(deliver(deliveries, post, secret), "outbox")  # sent once, however often it is read
+    at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+    ok = F.coalesce(F.col("response_status").between(200, 299), F.lit(False))
+    tried = (F.col("attempts") + 1).cast("int")
+    status = F.when(ok, "delivered").when(tried >= MAX_ATTEMPTS, "failed").otherwise("pending")
+    wait = F.make_dt_interval(secs=backoff(tried).cast("decimal(18,6)"))
+    out = sent.join(deliveries.select("key", "payload", "attempts"), "key")
+    return out.select("key", "payload", status.alias("status"), tried.alias("attempts"), "response_status", "last_error", F.when(status == "pending", at + wait).alias("next_attempt_at"))
+
+
+def outbox_round(spark: SparkSession, new: DataFrame | None, post: Callable[[str, dict[str, str]], int], secret: bytes, table: str, number: int, now: str | None = None) -> None:
+    """One batch of the outbox: new deliveries, and earlier ones whose next attempt is due. A repeated batch replaces its own outcome."""
+    at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+    known = outbox_state(spark, table, number)
+    due = known.where((F.col("status") == "pending") & (F.col("next_attempt_at") <= at)).select("key", "payload", "attempts")
+    if new is not None:
+        fresh = new.select("key", "payload").dropDuplicates(["key"]).join(known.select("key"), "key", "left_anti")
+        due = due.unionByName(fresh.withColumn("attempts", F.lit(0)))
+    attempt(materialise(due, "outbox-due"), post, secret, now).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
 
 def outbox(spark: SparkSession, deliveries: DataFrame, post: Callable[[str, dict[str, str]], int], secret: bytes, table: str, checkpoint: str) -> StreamingQuery:
-    """Deliver new payloads of a stream, at least once; outcomes go to ``table``, failures with their next attempt."""
-    from posthorn.sources.exports import backoff, deliver
+    """Deliver new payloads of a stream and those that are due again, at least once; outcomes go to ``table``."""
 
     def batch(df: DataFrame, number: int) -> None:
-        sent = deliver(df, post, secret)
-        ok = F.col("response_status").between(200, 299)
-        wait = F.make_dt_interval(secs=backoff(F.lit(1)).cast("decimal(18,6)"))
-        out = sent.select(
-            "key", F.when(ok, "delivered").otherwise("pending").alias("status"), F.lit(1).alias("attempts"), "response_status", "last_error",
-            F.when(~F.coalesce(ok, F.lit(False)), F.current_timestamp() + wait).alias("next_attempt_at"),
-        )
-        out.write.mode("overwrite").parquet(f"{table}/batch={number}")  # a repeated batch replaces its own outcome
+        outbox_round(spark, df, post, secret, table, number)
 
     return deliveries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

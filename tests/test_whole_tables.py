@@ -28,19 +28,19 @@ def test_name_classes_give_all_pairs(spark):
     assert len(found) == len(near) and {x for ab in near for x in ab} <= set(sets)
 
 
-def test_jaccard_names_whole_has_every_part(spark):
+def test_jaccard_names_has_every_part(spark):
     names = [r[0].lower() for r in spark.read.parquet(f"{SF}/part.parquet").select("p_name").collect()]
-    got = catalogue.QUERIES["jaccard_names_whole"](spark, SF).collect()
+    got = catalogue.QUERIES["jaccard_names"](spark, SF).collect()
     assert sum(r.similarity == 1.0 for r in got) == len(names) - len(set(names)) > 0
 
 
-def test_quantity_extract_whole_has_every_line(spark):
+def test_quantity_extract_has_every_line(spark):
     want = {(r.l_orderkey, r.l_linenumber, int(r.l_quantity)) for r in spark.read.parquet(f"{SF}/lineitem.parquet").collect()}
-    got = catalogue.QUERIES["quantity_extract_whole"](spark, SF).collect()
+    got = catalogue.QUERIES["quantity_extract"](spark, SF).collect()
     assert {(r.l_orderkey, r.l_linenumber, int(r.quantity)) for r in got} == want and max(r.l_linenumber for r in got) > 2
 
 
-def test_union_names_whole_has_every_name_once(spark):
+def test_union_names_has_every_name_once(spark):
     want = {r[0] for t, c in (("customer", "c_name"), ("supplier", "s_name"), ("part", "p_name")) for r in spark.read.parquet(f"{SF}/{t}.parquet").select(c).collect()}
-    got = [r.name for r in catalogue.QUERIES["union_names_whole"](spark, SF).collect()]
+    got = [r.name for r in catalogue.QUERIES["union_names"](spark, SF).collect()]
     assert sorted(got) == sorted(want)
