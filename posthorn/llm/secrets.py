@@ -25,11 +25,10 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from posthorn.functions.arrays import before, let
 from posthorn.llm.rows import fingerprint
 from posthorn.plans.scratch import materialise
 
@@ -52,31 +51,6 @@ PIECE = 4096
 _SPAN = "array<struct<start:int,kind:int,end:int,since:int,hash:string>>"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _before(values: Column, add: Callable[[Column, Column], Column]) -> Column:
-    """For each of some ints, what ``add`` makes of 0 and all ints in front of it, as one array.
-
-    Arrays can only grow by copying, so the values are run through in parts of PART: first the
-    parts' totals, then every part from its own start. The work grows with the number of values.
-    """
-
-    def body(v: Column) -> Column:
-        parts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / PART).cast("int"))
-        part = lambda c: F.slice(v, c * PART + 1, F.lit(PART))
-        grow = lambda values, first: F.aggregate(
-            values, F.struct(first.alias("at"), F.array().cast("array<int>").alias("out")),
-            lambda s, x: F.struct(add(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"],
-        )
-        totals = F.transform(parts, lambda c: F.aggregate(part(c), F.lit(0), add))
-        return _let(grow(totals, F.lit(0)), lambda first: F.flatten(F.transform(parts, lambda c: grow(part(c), F.get(first, c)))))
-
-    return _let(values, lambda v: F.when(F.size(v) > 0, body(v)).otherwise(F.array().cast("array<int>")))
-
-
 def _found(text: Column, pattern: str, kind: int, value=lambda m: m, least: int = 1) -> Column:
     """The matches of ``pattern`` whose value has ``least`` characters, as _SPAN.
 
@@ -86,7 +60,7 @@ def _found(text: Column, pattern: str, kind: int, value=lambda m: m, least: int
     """
 
     def span(hit: Column, end: Column) -> Column:
-        return _let(
+        return let(
             value(hit),
             lambda v: F.struct(
                 (end - F.length(hit)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), (end - F.length(v)).alias("since"),
@@ -96,12 +70,12 @@ def _found(text: Column, pattern: str, kind: int, value=lambda m: m, least: int
 
     def spans(p: Column) -> Column:
         lengths = F.transform(p, lambda x: F.length(x["gap"]) + F.length(x["hit"]))
-        ends = F.zip_with(_before(lengths, lambda a, x: a + x), lengths, lambda a, x: a + x)
+        ends = F.zip_with(before(lengths, lambda a, x: a + x, PART), lengths, lambda a, x: a + x)
         return F.filter(F.zip_with(p, ends, lambda x, end: span(x["hit"], end)), lambda x: x["hash"].isNotNull())
 
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)  # one more than matches
-    return _let(F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), spans)
+    return let(F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), spans)
 
 
 def _if(condition: Column, spans: Column) -> Column:
@@ -212,16 +186,16 @@ def _cut(text: Column, spans: Column, by: str) -> Column:
 
     def cut(s: Column) -> Column:
         """``s``: spans by start. One that begins before an earlier one ends is no opener."""
-        done = _before(F.transform(s, lambda x: x["end"]), lambda a, x: F.greatest(a, x))  # where all earlier spans have ended
+        done = before(F.transform(s, lambda x: x["end"]), lambda a, x: F.greatest(a, x), PART)  # where all earlier spans have ended
         openers = F.filter(F.zip_with(s, done, lambda x, at: F.struct(at.alias("at"), x["since"].alias("since"))), lambda x: x["since"] >= x["at"])
         whole = lambda pieces: F.concat(
             F.array_join(F.transform(openers, lambda x: F.concat(stretch(pieces, x["at"], x["since"]), F.lit(by))), ""),
             stretch(pieces, F.array_max(F.transform(s, lambda x: x["end"])), F.length(text)),
         )
-        return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), whole)
+        return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), whole)
 
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["since"].alias("since"), s["end"].alias("end"))))
-    return F.when(F.size(spans) > 0, _let(ordered, cut)).otherwise(text)
+    return F.when(F.size(spans) > 0, let(ordered, cut)).otherwise(text)
 
 
 def redact(
