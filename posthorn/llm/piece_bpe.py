@@ -37,10 +37,12 @@ MARK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _NEVER = float("-inf")
 #: Chunks of one kind that a worker remembers (twice as many for a while), and characters of the longest of them.
-CHUNKS = 400_000
+CHUNKS = 150_000
 CHUNK_CHARS = 200
 #: Pairs of pieces that a worker remembers; when there are as many, it forgets them all.
-PAIRS = 2_000_000
+PAIRS = 500_000
+#: Bytes of texts whose ids a worker holds at a time.
+SLICE_BYTES = 2 << 20
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -293,7 +295,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model_file)
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=SLICE_BYTES):
             found = [own.encode(x.decode()) for x in utf8(batch.column(batch.num_columns - 1))]
             columns = [
                 pa.array([i.count(" ") + 1 for i in found], pa.int64()),
