@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from posthorn.functions import articles as A
 from posthorn.functions import entities as N
 from posthorn.functions import mail_rules as R
+from posthorn.functions import quantities as Y
 from posthorn.functions import text as T
 from posthorn.operators import catalog, threads
 from posthorn.operators import classify as C
@@ -105,6 +106,14 @@ samples("request_patterns", C.request_type_of, [
     ("", "подскажите, пожалуйста", "client", "info_request"), ("", "как купить", "client", "info_request"), ("", "инструкция", "client", "info_request"), ("", "какие сроки", "client", "info_request"),
     ("Re: Fwd: Запрос", "hello", "client", "quotation"), ("Заявка: 12", "hello", "client", "quotation"), ("Заказ", "hello", "client", "order"), ("Заказ", "запрос на кп", "spam", "spam"), ("hello", "nothing", "client", None),
 ])
+samples("technical_values", Y.technical_reason, [
+    ("90 мм", "dimension"), ("2\"", "dimension"), ("DN 50", "dimension"), ("1,5 кг", "weight"), ("2.20 kW", "power"), ("240V", "voltage"), ("10 bar", "pressure"), ("50/60HZ", "frequency"), ("1500 min-1", "rpm"), ("-20 °C", "temperature"),
+    ("+7 495 123 45 67", "phone"), ("(495) 1234567", "phone"), ("9226513 - 4", None), ("21.04.2026", "date"), ("2026-04-20", "date"), ("9:00 - 18:00", "hours"), ("5 шт", None), ("2 компл", None), ("", None), (None, None),
+])
+samples("stated_quantities", lambda line, a: F.concat_ws(" ", F.format_string("%.1f", Y.stated(line, a)["quantity"]), Y.stated(line, a)["unit"], Y.stated(line, a)["how"]), [
+    ("2 компл по 5 шт", "", "10.0 шт pack"), ("3 упак по 4", "", "12.0 шт pack"), ("9226513-4 шт", "9226513", "4.0 шт article"), ("11TC080-1шт", "11TC080", "1.0 шт article"), ("в кол-ве 5", "", "5.0 шт label"), ("Количество: 10 компл", "", "10.0 компл label"), ("qty 7", "", "7.0 шт label"),
+    ("насос 2,5 шт", "", "2.5 шт unit"), ("клапан 4 пары", "", "4.0 пар unit"), ("кабель 6 бухт", "", "6.0 бух unit"),
+])
 samples("urgency_patterns", C.urgency_of, [
     ("нужно СРОЧНО", "urgent"), ("как можно скорее", "urgent"), ("остановка линии", "urgent"), ("горит срок", "urgent"), ("плановая закупка", "planned"), ("в течение месяца", "planned"), ("на перспективу", "planned"), ("hello", "normal"), (None, "normal"),
 ])
