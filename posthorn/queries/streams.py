@@ -28,9 +28,12 @@ def query(sql: str | None = None):
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table of the data directory as a stream of its files."""
-    batch = table(spark, sf, name)
-    return spark.readStream.schema(batch.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table of the data directory, a file or a folder of part files, as a stream of its files."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+    files = spark.readStream.schema(table(spark, sf, name).schema)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return files.parquet(f"{sf}/{name}.parquet")
+    return files.option("pathGlobFilter", f"{name}.parquet").parquet(sf)  # a stream's path is a folder
 
 
 @query("SELECT DISTINCT event_id, event_type FROM events")
