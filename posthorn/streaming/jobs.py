@@ -41,7 +41,8 @@ def limiter(events: DataFrame, user: str = "user_id", at: str = "ts", window_s:
 
     State: at most ``allowed`` times of the last window; it goes when the watermark (``late`` behind the newest
     event) has passed the window. All of a user's requests of a trigger are put in order before they are judged; one
-    that comes in a later trigger is judged then.
+    that comes in a later trigger is judged then. Times count in whole seconds, rounded to the nearest, a half to the
+    even one. Requests without a user or a time are refused.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -49,9 +50,9 @@ def limiter(events: DataFrame, user: str = "user_id", at: str = "ts", window_s:
             state.remove()
             return
         times = list(state.get[0]) if state.exists else []
-        asked = sorted((int(t), int(e)) for pdf in batches for e, t in zip(pdf["event_id"], pdf["sec"], strict=True))
-        rows = []
-        for t, event_id in asked:
+        asked = [(t, int(e)) for pdf in batches for e, t in zip(pdf["event_id"], pdf["sec"], strict=True)]
+        rows = [(e, key[0], False) for t, e in asked if pd.isna(key[0]) or pd.isna(t)]
+        for t, event_id in sorted((int(t), e) for t, e in asked if not (pd.isna(key[0]) or pd.isna(t))):
             times = [x for x in times if x > t - window_s]
             ok = len(times) < allowed
             if ok:
@@ -59,10 +60,10 @@ def limiter(events: DataFrame, user: str = "user_id", at: str = "ts", window_s:
             rows.append((event_id, key[0], ok))
         state.update((times,))
         state.setTimeoutTimestamp(max((max(times, default=0) + window_s) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["event_id", "user_id", "allowed"])
+        yield pd.DataFrame(rows, columns=["event_id", "user_id", "allowed"]).astype({"user_id": "Int64"})
 
     keyed = events.select("event_id", F.col(user).alias("user_id"), F.col(at).cast("timestamp").alias("at")).withWatermark("at", late)
-    keyed = keyed.select("event_id", "user_id", "at", F.unix_seconds("at").alias("sec"))
+    keyed = keyed.select("event_id", "user_id", "at", F.rint(F.unix_micros("at") / 1e6).cast("long").alias("sec"))
     return keyed.groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, allowed boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
